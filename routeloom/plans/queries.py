@@ -171,7 +171,7 @@ def routed_reward(spark, d):
     return routing.routed_reward(_rm(spark, d), _choices(spark, d), R).withColumn("reward", r6("reward"))
 
 
-@query(f"with {CALLS_SQL} select agent, count(*) as n_calls, count(*) filter (is_error) as n_error, count(*) filter (is_empty) as n_empty, round(sum(0.0001 * latency_ms), 4) as cost_usd from calls group by 1")
+@query(f"with {CALLS_SQL} select agent, count(*) as n_calls, count(*) filter (is_error) as n_error, count(*) filter (is_empty) as n_empty, round(sum(cast(0.0001 as double) * latency_ms), 4) as cost_usd from calls group by 1")
 def collection_progress(spark, d):
     c = fx.calls(spark, d).select("agent", F.when(F.col("is_error"), "HTTP 500").alias("error"), F.col("is_empty").alias("empty"), (F.lit(0.0001) * F.col("latency_ms")).alias("cost_usd"))
     return collection.progress(c).withColumn("cost_usd", F.round("cost_usd", 4))
