@@ -1,12 +1,13 @@
 """Operator 1: toxicity by a convolutional text classifier, trained in numpy.
 
-Words are hashed into 2 ** BITS buckets; buckets that occur in at least
-three documents and a share of LEAST_DOCS of the sample have an embedding, all others share one of
-zeros, so that words of single documents can't be learnt by heart.  Filters of
-widths 1, 2 and 3 slide over the embeddings of a document, each is max-pooled over all of it, and a
-logistic layer combines the rectified maxima.  Training takes a bounded sample
-of labelled documents (tables.SAMPLE_ROWS), of which a quarter calibrates the
-thresholds: for each language the middle of the widest range of scores that
+Words are hashed into 2 ** BITS buckets.  Buckets whose counts of toxic and of
+clean documents in the sample are far from chance (a log-likelihood ratio of at
+least SIGNIFICANT) have an embedding, all others share one of zeros, so that the words of single
+documents can't be learnt by heart; near copies within the sample count once.
+Filters of widths 1, 2 and 3 slide over the embeddings of a document, each is
+max-pooled over all of it, and a logistic layer combines the rectified maxima.
+Training takes a bounded sample of labelled documents (SAMPLE_ROWS), of which a
+quarter calibrates the thresholds: for each language the middle of the widest range of scores that
 gives the best F1, or the threshold of all languages together where one has
 fewer than CALIBRATION documents of either class.
 
@@ -30,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .tables import SAMPLE_ROWS, labelled_sample
+from .tables import labelled_sample
 
 BITS, DIM, WIDTHS, FILTERS = 22, 12, (1, 2, 3), 6
-LEAST_DOCS = 1 / 300
+#: Labelled documents in the sample, at most.
+SAMPLE_ROWS = 8000
+#: Least logarithm of how much likelier than chance a word's counts in the two classes are.
+SIGNIFICANT = 12.0
 EPOCHS, RATE, SEED = 6, 0.08, 13
 CALIBRATION = 15
 
@@ -90,11 +94,36 @@ class Model:
         return out
 
 
+def vocabulary(docs: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Buckets that tell the classes apart, sorted."""
+    sides = [np.concatenate([np.zeros(0, np.int64), *(np.unique(d) for d, y in docs if y == side)]) for side in (0, 1)]
+    size = [max(1, sum(y == side for _, y in docs)) for side in (0, 1)]
+    seen, at = np.unique(np.concatenate(sides), return_inverse=True)
+    clean, toxic = (np.bincount(x, minlength=len(seen)) for x in np.split(at, [len(sides[0])]))
+    share, base = toxic / np.maximum(1, clean + toxic), size[1] / (size[0] + size[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.nan_to_num(toxic * np.log(share / base)) + np.nan_to_num(clean * np.log((1 - share) / (1 - base)))
+    return seen[gain >= SIGNIFICANT]
+
+
+def without_near_copies(hashes: list[np.ndarray]) -> np.ndarray:
+    """Whether each document shares neither of two least trigram hashes with one before it."""
+    seen: tuple[set[int], set[int]] = (set(), set())
+    out = np.ones(len(hashes), bool)
+    for k, h in enumerate(hashes):
+        if len(h):
+            g = tk.ngrams(h, 3)
+            keys = int(g.min()), int(tk.mix(g ^ tk.U64(SEED)).min())
+            out[k] = not any(x in s for x, s in zip(keys, seen))
+            for x, s in zip(keys, seen):
+                s.add(x)
+    return out
+
+
 def train(docs: list[tuple[np.ndarray, int]], seed: int = SEED, epochs: int = EPOCHS) -> Model:
     """docs: word buckets and class of each document.  Adagrad, one document at a time."""
     rng = np.random.default_rng(seed)
-    seen, many = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(d) for d, _ in docs)]), return_counts=True)
-    known = seen[many >= max(3, LEAST_DOCS * len(docs))]
+    known = vocabulary(docs)
     n = len(WIDTHS) * FILTERS
     m = Model(known, rng.normal(0, 0.1, (len(known) + 1, DIM)), [rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS], np.zeros(n), rng.normal(0, 0.3, n), 0.0)
     m.embeddings[-1] = 0
@@ -170,8 +199,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(sample: list) -> Model:
     """sample: rows (doc_id, text, lang, y)."""
     sample = sorted(sample, key=lambda r: r.doc_id)
-    words = [buckets(tk.tokens(pa.array([r.text])).hashes) for r in sample]
-    docs = [(w, r.y) for w, r in zip(words, sample)]
+    hashes = [tk.tokens(pa.array([r.text])).hashes for r in sample]
+    keep = without_near_copies(hashes)
+    sample = [r for r, k in zip(sample, keep) if k]
+    docs = [(buckets(h), r.y) for h, r in zip((h for h, k in zip(hashes, keep) if k), sample)]
     held = np.arange(len(docs)) % 4 == 3
     m = train([d for d, h in zip(docs, held) if not h])
     if not m.biases.any():
