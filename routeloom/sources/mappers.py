@@ -7,9 +7,10 @@ is none; ``rows`` needs an ordinal column ``index`` that counts from 0.
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,11 +177,20 @@ def rlpr(rows: DataFrame) -> Fields:
     return Fields(t.prompt_col(_full(prompt), "short"), _full(answer), subject, difficulty)
 
 
-@F.udf("array<int>")
-def _shuffled(index: int) -> list[int]:
-    order = list(range(4))
-    random.Random(f"gpqa/{index}").shuffle(order)
-    return order
+def _shuffled(index: Column) -> Column:
+    """0 to 3 in the order that Python's generator gives them for a row."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def order(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for k in s:
+                four = list(range(4))
+                random.Random(f"gpqa/{k}").shuffle(four)
+                out.append(four)
+            yield pd.Series(out)
+
+    return order(index)
 
 
 @source(Spec("gpqa_diamond", "Idavidrein/gpqa", "train", "science", "hard", "CC-BY-4.0 (gated)", "multiple_choice", "mcq_letter", config="gpqa_diamond", task_group="held_out", redistributable=False))
@@ -191,7 +201,7 @@ def gpqa(rows: DataFrame, native: bool = False) -> Fields:
         keyed = F.transform(given, lambda o, i: F.struct(F.md5(F.concat_ws("/", F.col("index").cast("string"), i.cast("string"))).alias("k"), o.alias("o")))
         options = F.transform(F.array_sort(keyed), lambda x: x["o"])
     else:
-        options = F.transform(_shuffled("index"), lambda i: F.get(given, i))
+        options = F.transform(_shuffled(F.col("index")), lambda i: F.get(given, i))
     whole = F.forall(given, lambda o: o.isNotNull())
     letter = F.substring(F.lit(t.LETTERS), F.array_position(options, F.get(given, F.lit(0))).cast("int"), F.lit(1))
     subject = F.coalesce(*(F.nullif(_optional(rows, c), F.lit("")) for c in ("Subdomain", "High-level domain")))

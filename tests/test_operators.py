@@ -264,7 +264,7 @@ def test_preflight(spark):
 def test_public_rows_have_no_text(spark, rm):
     t = spark.createDataFrame([(k, f"{'rlpr' if k == 3 else 's'}/t/{k}", "s", "m", "easy", "g", "train", "secret") for k in (1, 2, 3, 4)], "doc_id long, task_id string, dataset string, domain string, difficulty string, task_group string, split string, prompt string")
     p = publish.public_rows(rm, t, AGENTS, 3, "v1")
-    assert p.columns.sort() == [f.name for f in schemas.PUBLIC_ROW].sort() and len(p.columns) == 15
+    assert sorted(p.columns) == sorted(f.name for f in schemas.PUBLIC_ROW) and len(p.columns) == 15
     got = {r.task_id: r for r in p.collect()}
     assert set(got) == {"s/t/1", "s/t/2", "s/t/4"} and got["s/t/1"].best_agents == ["a", "b"] and got["s/t/1"].n_correct == [2, 2, 0]
     with pytest.raises(schemas.IntegrityError):
