@@ -139,8 +139,8 @@ def gate_decision(verdicts: DataFrame) -> DataFrame:
 
 
 def baselines(rm: DataFrame, repetitions: int) -> DataFrame:
-    """One row (best_fixed_agent, best_fixed, uniform, oracle, headroom, n_tasks); the first agent of equal ones is the best."""
-    t = rm.groupBy("doc_id").agg(F.max("n_correct").alias("top")).agg(F.sum("top").alias("top"), F.count("*").alias("n_tasks"))
+    """One row (best_fixed_agent, best_fixed, uniform, oracle, headroom, n_tasks), none without tasks; the first agent of equal ones is the best."""
+    t = rm.groupBy("doc_id").agg(F.max("n_correct").alias("top")).agg(F.sum("top").alias("top"), F.count("*").alias("n_tasks")).where("n_tasks > 0")
     a = rm.groupBy("agent", "pos").agg(F.sum("n_correct").alias("c"))
     a = a.agg(F.max_by("agent", F.struct("c", -F.col("pos"))).alias("best_fixed_agent"), F.max("c").alias("best"), F.sum("c").alias("all"), F.count("*").alias("agents"))
     calls = F.col("n_tasks") * repetitions
