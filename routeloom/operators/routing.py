@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import zipfile
+from collections.abc import Callable, Sequence
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -121,3 +124,32 @@ def head_report(theta: np.ndarray, x: np.ndarray, rewards: np.ndarray, hidden: i
     got = float(rewards[np.arange(len(x)), logits(theta, x, rewards.shape[1], hidden).argmax(axis=1)].mean())
     fixed = float(rewards.mean(axis=0).max())
     return {"router": got, "uniform": float(rewards.mean()), "best_fixed": fixed, "oracle": float(rewards.max(axis=1).mean()), "beats_best_fixed": got > fixed}
+
+
+def training_rows(rewards: DataFrame, tasks: DataFrame, least: int = 10) -> DataFrame:
+    """Rewards (task_id, ...) with their prompts; those without a task or with a blank prompt are dropped.  Fewer than ``least`` are an error."""
+    prompts = tasks.where(F.trim(F.coalesce("prompt", F.lit(""))) != "").select("task_id", "prompt")
+    out = rewards.join(prompts, "task_id")
+    if out.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} rewards have a prompt")
+    return out
+
+
+def fallback_split(n: int, seed: int = 42, share: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (train, test) of a permutation; at least one is test."""
+    order = np.random.default_rng(seed).permutation(n)
+    test = max(1, round(share * n))
+    return order[test:], order[:test]
+
+
+def save_head(folder: str | Path, theta: np.ndarray, agents: Sequence[str], dim: int, hidden: int = 0, report: dict | None = None) -> Path:
+    """Parameters as .npy, a manifest, and both in a zip file; returns the zip file's path."""
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    np.save(folder / "head.npy", theta.astype(np.float32))
+    manifest = {"agents": list(agents), "dim": dim, "hidden": hidden, "parameters": len(theta), "report": report or {}}
+    (folder / "manifest.json").write_text(json.dumps(manifest, sort_keys=True, indent=1))
+    with zipfile.ZipFile(folder / "head.zip", "w") as z:
+        for name in ("head.npy", "manifest.json"):
+            z.write(folder / name, name)
+    return folder / "head.zip"
