@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from math import isclose
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,7 +33,7 @@ def known_graders() -> list[str]:
 
 
 def _close(a: float, b: float) -> bool:
-    return math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9)
+    return isclose(a, b, rel_tol=1e-6, abs_tol=1e-9)
 
 
 @grader("mcq_letter")
@@ -78,7 +78,7 @@ def verifier_judgment(response: str, answer: str) -> Graded:
 def grade(name: str, response: str | None, answer: str) -> Graded:
     if name not in _GRADERS:
         raise KeyError(f"no grader {name!r}; there are {known_graders()}")
-    if response is None or not response.strip():
+    if not (response or "").strip():
         return None, False
     return _GRADERS[name](response, answer)
 

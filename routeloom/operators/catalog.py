@@ -86,8 +86,7 @@ def distinct_vendors(ranked: list[tuple[str, int, str, str]]) -> dict[str, str]:
     by: dict[str, list[tuple[str, str]]] = {}
     for slot, _, slug, vendor in sorted(ranked, key=lambda r: (r[0], r[1])):
         by.setdefault(slot, []).append((slug, vendor))
-    out: dict[str, str] = {}
-    used: set[str] = set()
+    out, used = {}, set()
     for slot in SLOTS:
         options = by.get(slot, [])
         if slot == PAIR[1] and PAIR[0] in out:

@@ -24,28 +24,30 @@ CALL = "task_id string, agent string, repetition int, raw_response string, extra
 
 @dataclass(frozen=True)
 class Reply:
+    """What a provider says; ``error`` is None for a call that went through."""
+
     text: str = ""
-    prompt_tokens: int | None = None
-    completion_tokens: int | None = None
-    cost_usd: float | None = None
+    error: str | None = None
     latency_ms: int | None = None
+    completion_tokens: int | None = None
+    prompt_tokens: int | None = None
     finish_reason: str | None = None
-    error: str | None = None
+    cost_usd: float | None = None
 
     @property
-    def empty(self) -> bool:
-        return self.error is None and not self.text.strip()
+    def fatal(self) -> bool:
+        return (self.error or "").startswith(tuple(f"HTTP {c}" for c in FATAL))
 
     @property
     def truncated(self) -> bool:
-        return self.finish_reason == "length"
+        return "length" == self.finish_reason
 
     @property
-    def fatal(self) -> bool:
-        return self.error is not None and self.error.startswith(tuple(f"HTTP {c}" for c in FATAL))
+    def empty(self) -> bool:
+        return not self.text.strip() and self.error is None
 
 
-Chat = Callable[[str, list[dict[str, str]], int], Reply]  # (agent, messages, repetition)
+Chat = Callable[[str, list, int], Reply]  # (agent, messages, repetition)
 
 
 class Aborted(RuntimeError):
@@ -56,10 +58,13 @@ class ProtocolViolation(RuntimeError):
     """A reply is longer than the token cap allows."""
 
 
-def messages(prompt: str, template: str | None = None, transcript: str = "") -> list[dict[str, str]]:
+Message = dict[str, str]
+
+
+def messages(prompt: str, template: str | None = None, *, transcript: str = "") -> list[Message]:
     """System and user turn; a role's template has the slots {transcript} and {query}."""
     user = prompt if template is None else template.replace("{transcript}", transcript).replace("{query}", prompt)
-    return [{"role": "system", "content": SYSTEM}, {"role": "user", "content": user}]
+    return [dict(role=who, content=said) for who, said in (("system", SYSTEM), ("user", user))]
 
 
 def messages_col(prompt: Column) -> Column:
@@ -125,10 +130,10 @@ def parse_body(text: str) -> Reply:
         return Reply(error=f"HTTP {code}: {problem.get('message', '')}" if code else f"error: {problem}")
     choice = (body.get("choices") or [{}])[0]
     usage = body.get("usage") or {}
-    return Reply((choice.get("message") or {}).get("content") or "", usage.get("prompt_tokens"), usage.get("completion_tokens"), usage.get("cost"), None, choice.get("finish_reason"))
+    return Reply((choice.get("message") or {}).get("content") or "", finish_reason=choice.get("finish_reason"), cost_usd=usage.get("cost"), **{k: usage.get(k) for k in ("prompt_tokens", "completion_tokens")})
 
 
-def collect(tasks: DataFrame, agents: Sequence[str], chat: Chat, repetitions: int = 3, concurrency: int = 8, store_raw: bool = True, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def collect(tasks: DataFrame, agents: Sequence[str], chat: Chat, repetitions: int = 3, store_raw: bool = True, max_tokens: int = MAX_TOKENS, concurrency: int = 8) -> DataFrame:
     """Graded calls of tasks (task_id, prompt, answer, grader), tasks in turn and a task's calls together.
 
     Fatal errors and replies above the cap fail the Spark task, so none of its rows are written.

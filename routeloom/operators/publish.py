@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from routeloom.schemas import must_be_empty
 
-MARKERS = ('"prompt"', '"raw_response"', '"answer"')
+MARKERS = tuple(f'"{name}"' for name in ("answer", "prompt", "raw_response"))
 MANIFEST = ("index", "id", "slug", "is_reasoning_model", "context_window", "price_per_1m_prompt_usd", "price_per_1m_output_usd", "verified_at")
 
 

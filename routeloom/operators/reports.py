@@ -7,17 +7,22 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from routeloom.operators.analysis import VERDICTS
 from routeloom.sources.readers import digest
 
-WORDS = {"continue": "PASS", "warn": "WARN", "stop": "FAIL", "missing": "MISSING"}
+WORDS = dict(zip(VERDICTS, ("PASS", "WARN", "MISSING", "FAIL")))
 
 
-def pct(value: float | None) -> str:
-    return "n/a" if value is None else f"{value:.1%}"
+def shown(x: float | None, form: str) -> str:
+    return format(x, form) if x is not None else "n/a"
 
 
-def num(value: float | None, digits: int = 4) -> str:
-    return "n/a" if value is None else f"{value:.{digits}f}"
+def pct(x: float | None) -> str:
+    return shown(x, ".1%")
+
+
+def num(x, digits=4):
+    return shown(x, f".{digits}f")
 
 
 def grid(heads: Sequence[str], rows: Sequence[Sequence[object]]) -> list[str]:
@@ -35,13 +40,11 @@ def provenance(title: str, inputs: Mapping[str, Path], settings: Mapping[str, ob
 
 def health_report(per_agent: DataFrame, verdicts: DataFrame, accuracy: DataFrame, inputs: Mapping[str, Path] | None = None) -> str:
     """Decision, gate table, E(D, M) and per-agent figures, and what to redesign."""
-    from routeloom.operators.analysis import VERDICTS
-
     gates, agents, cells = verdicts.collect(), sorted(per_agent.collect(), key=lambda r: r.pos), accuracy.collect()
     decision = max((g.verdict for g in gates), key=VERDICTS.index, default="missing")
     out = provenance("Health of the reward matrix", inputs or {})
     out += [f"Decision: **{'STOP' if decision in ('stop', 'missing') else 'CONTINUE'}** ({WORDS[decision]})", ""]
-    out += grid(("Metric", "Value", "Continue at", "Stop at", "Verdict"), [(g.metric, num(g.value), num(g.continue_at, 2), num(g.stop_at, 2), WORDS[g.verdict]) for g in sorted(gates, key=lambda g: g.metric)])
+    out += grid(("Gate", "Found", "Good from", "Bad from", "Verdict"), [(g.metric, num(g.value), num(g.continue_at, 2), num(g.stop_at, 2), WORDS[g.verdict]) for g in sorted(gates, key=lambda g: g.metric)])
     names = [a.agent for a in agents]
     by = {(c.dataset, c.agent): c.accuracy for c in cells}
     out += ["", "## Accuracy by dataset", "", *grid(("Dataset", *names, "Best"), [(d, *(num(by.get((d, a)), 3) for a in names), max(names, key=lambda a: by.get((d, a), -1.0))) for d in sorted({c.dataset for c in cells})])]

@@ -19,8 +19,8 @@ class Role:
     template: str | None = None
     output_grammar: str | None = None
 
-    def messages(self, query: str, transcript: str = "") -> list[dict[str, str]]:
-        return messages(query, self.template, transcript)
+    def messages(self, query: str, transcript: str = ""):
+        return messages(query, self.template, transcript=transcript)
 
     def fits(self, text: str) -> bool:
         return self.output_grammar is None or re.match(self.output_grammar, text) is not None

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RATIOS = {"train": 0.6, "validation": 0.2, "test": 0.2}
+RATIOS = dict(train=0.6, validation=0.2, test=0.2)
 MAX_SHARE, SEED, SLACK = 0.30, 42, 1e-9
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from math import cos, sin
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -368,7 +368,7 @@ def limited_mapping_stats(spark, d):
     return readers.map_stats(readers.limited(rows, "doc_id", F.col("ok"), 100), F.when(~F.col("ok"), "mapper_returned_none"))
 
 
-@query("select conv_id, turn, regexp_replace(regexp_replace('<think>' || role || '</think><answer x=1>' || text || '</ANSWER>', '<think>.*?</think>', ' ', 'gis'), '</?(?:delegate|answer|think|reasoning)[^>]*>', ' ', 'gi') as body from conversations")
+@query("select conv_id, turn, regexp_replace(regexp_replace('<think>' || role || '</think><answer x=1>' || text || '</ANSWER>', '<think>.*?</think>', ' ', 'gis'), '</?(?:think|reasoning|delegate|answer)[^>]*>', ' ', 'gi') as body from conversations")
 def strip_markup(spark, d):
     c = fx.table(spark, d, "conversations")
     return c.select("conv_id", "turn", t.strip_markup_col(F.concat(F.lit("<think>"), "role", F.lit("</think><answer x=1>"), "text", F.lit("</ANSWER>"))).alias("body"))
@@ -491,8 +491,8 @@ def mapped_sources(spark, d):
 # Router heads
 
 DIM, HEADS = 64, 5
-_W = [[round(math.sin(1 + k * DIM + j), 6) for j in range(DIM)] for k in range(HEADS)]
-_B = [round(math.cos(k), 6) for k in range(HEADS)]
+_W = [[round(sin(1 + k * DIM + j), 6) for j in range(DIM)] for k in range(HEADS)]
+_B = [round(cos(k), 6) for k in range(HEADS)]
 _WSQL = ", ".join(f"({k}, [{', '.join(f'cast({w} as double)' for w in row)}], cast({b} as double))" for k, (row, b) in enumerate(zip(_W, _B)))
 
 

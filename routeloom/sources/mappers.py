@@ -20,17 +20,19 @@ from routeloom.functions import text as t
 
 @dataclass(frozen=True)
 class Spec:
+    """What is the same for all tasks of a source."""
+
     name: str
     dataset: str
     split: str
     domain: str
-    difficulty: str
+    difficulty: str  # unless a row has its own
     license: str
     answer_type: str
     grader: str
-    config: str | None = None
-    task_group: str = "in_distribution"
     redistributable: bool = True
+    task_group: str = "in_distribution"
+    config: str | None = None
 
 
 @dataclass(frozen=True)

@@ -59,7 +59,7 @@ def last_of_each(rows: DataFrame, key: str, ordinal: Column) -> DataFrame:
 def first_split(available: Iterable[str]) -> str:
     """The split to train from: train, test, validation or dev, whichever is there first."""
     there = list(available)
-    return next((s for s in ("train", "test", "validation", "dev") if s in there), there[0])
+    return next((s for s in "train test validation dev".split() if s in there), there[0])
 
 
 def read_source(spark: SparkSession, dataset: str, split: str, mirror: str = "", schema: T.StructType | None = None) -> DataFrame:
@@ -130,8 +130,7 @@ def append_once(df: DataFrame, path: str, key: str) -> None:
 
 def load_config(path: str | os.PathLike, **expected: str) -> dict:
     """A JSON object; named fields must have the expected values."""
-    with open(path, encoding="utf-8") as f:
-        config: Mapping = json.load(f)
+    config: Mapping = json.loads(Path(path).read_text("utf-8"))
     for name, value in expected.items():
         if config.get(name) != value:
             raise ValueError(f"{path}: {name} is {config.get(name)!r}, not {value!r}")

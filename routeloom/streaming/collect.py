@@ -17,11 +17,11 @@ def stream_jsonl(spark: SparkSession, folder: str, schema: T.StructType, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def sink_once(stream: DataFrame, path: str, checkpoint: str, pool_version: str, agent_order: list[str], repetitions: int, key: str = "task_id") -> StreamingQuery:
+def sink_once(stream: DataFrame, path: str, checkpoint: str, pool_version: str, agents: list[str], repetitions: int, key: str = "task_id") -> StreamingQuery:
     """Appends records whose key isn't in the table yet, so replayed batches write nothing twice.  Records of another plan stop the query."""
 
     def write(batch: DataFrame, _: int) -> None:
-        must_fit(batch, pool_version, agent_order, repetitions)
+        must_fit(batch, pool_version, agents, repetitions)
         append_once(batch, path, key)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -16,7 +16,7 @@ def said(agent, messages, repetition):
     right = agent == "oracle" or (agent == "half" and int(number) % 2 == 0)
     if agent == "mute":
         return collection.Reply("")
-    return collection.Reply(f"Answer: {number if right else 'none'}", 3, 2, 0.001, 40 + repetition)
+    return collection.Reply(f"Answer: {number if right else 'none'}", cost_usd=0.001, latency_ms=40 + repetition)
 
 
 @pytest.fixture(scope="module")
