@@ -5,8 +5,9 @@ rectified filter values are max-pooled over chunks of 2 HOP bytes that overlap
 by half and cover the whole document; the mean and the maximum over its chunks
 of each filter go into a logistic layer that gives one probability of good
 quality.  Training takes a bounded sample of labelled documents
-(tables.SAMPLE_ROWS).  A quarter of it calibrates the threshold, so that at
-most MISS of the good ones fall below it; it is at most 0.5.
+(tables.SAMPLE_ROWS).  A quarter of it calibrates the threshold: a good document
+lost counts GOOD_WEIGHT times as much as a bad one kept, by shares of either
+class, and the threshold is in the middle of the best range; it is at most 0.5.
 
 Defined cases: a null or empty text has probability 0 and is rejected.  If the
 labels lack one of the classes, nothing else is rejected (probability 1).  Rows
@@ -30,7 +31,7 @@ from .tables import SAMPLE_ROWS, labelled_sample
 
 WIDTH, FILTERS, HOP = 5, 8, 256
 EPOCHS, BATCH, RATE, SEED = 6, 16, 0.02, 29
-MISS = 0.002
+GOOD_WEIGHT = 20
 #: Bytes that are scored at a time.
 BLOCK = 1 << 17
 
@@ -149,15 +150,28 @@ def train(docs: list[tuple[np.ndarray, int]], seed: int = SEED, epochs: int = EP
     return m
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Rows from the threshold on are kept."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    cuts = np.unique(np.append(p, 1.0))  # keeps what is at or above
+    lost = np.searchsorted(np.sort(p[y == 1]), cuts) / y.sum()
+    kept = 1 - np.searchsorted(np.sort(p[y == 0]), cuts) / (1 - y).sum()
+    cost = GOOD_WEIGHT * lost + kept
+    k = int(np.argmin(cost))
+    low = cuts[k - 1] if k else 0.0
+    return float(min(0.5, (low + cuts[k]) / 2))
+
+
 def fit(sample: list) -> Model:
     """sample: rows (doc_id, text, lang, y)."""
     sample = sorted(sample, key=lambda r: r.doc_id)
     held = np.arange(len(sample)) % 4 == 3
     m = train([(np.frombuffer(r.text.encode(), np.uint8), r.y) for r, h in zip(sample, held) if not h])
-    good = [r.text for r, h in zip(sample, held) if h and r.y and r.text]
-    if m.fitted and good:
-        p = np.sort(np.concatenate([m.probabilities(pa.array([t])) for t in good]))
-        m.threshold = float(min(0.5, p[int(MISS * len(p))]))
+    kept = [r for r, h in zip(sample, held) if h and r.text]
+    if m.fitted and kept:
+        p = np.concatenate([m.probabilities(pa.array([r.text])) for r in kept])
+        m.threshold = best_threshold(p, np.array([r.y for r in kept]))
     return m
 
 
