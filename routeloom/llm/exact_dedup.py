@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .tables import stored
+from .tables import scratch, stored
 
 #: Aimed at digests in a shard.
 SHARD = 50_000
@@ -173,10 +173,11 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents that are no copies, each once."""
-    found = stored(decisions(*halves(docs)), "decisions")
-    state = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("winner_id")).alias("gone"), F.max("copies").alias("most"))
-    gone = stored(state.where("gone").select(F.col("doc_id").alias("_gone")), "gone")
-    many = stored(state.where("not gone and most > 1").select(F.col("doc_id").alias("_many")), "many")
+    with scratch(docs.sparkSession):
+        found = stored(decisions(*halves(docs)), "decisions")
+        state = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("winner_id")).alias("gone"), F.max("copies").alias("most"))
+        gone = stored(state.where("gone").select(F.col("doc_id").alias("_gone")), "gone", keep=True)
+        many = stored(state.where("not gone and most > 1").select(F.col("doc_id").alias("_many")), "many", keep=True)
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     once = kept.join(many, kept["doc_id"] == many["_many"], "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(many, kept["doc_id"] == many["_many"], "left_anti").unionByName(once)

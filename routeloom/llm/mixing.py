@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .tables import fresh, stored
+from .tables import fresh, scratch, stored
 
 SEED = 7
 LEAST_WEIGHT = 0.05
@@ -88,7 +88,7 @@ def cuts(rows: DataFrame, targets: dict[str, float] | None, total: int | None) -
     near = near.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("key", "id")))  # the default frame takes equal rows together
     last = near.where(F.col("upto") <= F.col("left")).groupBy("src").agg(F.max(F.struct("key", "id")).alias("l"))
     out = plan.join(last, "src", "left").select("src", F.col("epochs"), F.when((F.col("left") > 0) | (F.col("cut_bucket") == (1 << 62) - 1), F.col("cut_bucket")).alias("cut_bucket"), F.col("l.key").alias("cut_key"), F.col("l.id").alias("cut_id"))
-    return stored(out, "cuts")
+    return stored(out, "cuts", keep=True)
 
 
 def _copies(bucket: Column, key: Column, ident: Column, cut: dict[str, Column]) -> Column:
@@ -100,14 +100,16 @@ def _copies(bucket: Column, key: Column, ident: Column, cut: dict[str, Column])
 def selection(docs: DataFrame, targets: dict[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the documents that are taken at least once."""
     rows = stored(keyed(docs, seed), "keys")
-    out = rows.join(cuts(rows, targets, total), F.col("source") == F.col("src"))
+    with scratch(docs.sparkSession):
+        edge = cuts(rows, targets, total)
+    out = rows.join(edge, F.col("source") == F.col("src"))
     return out.select("doc_id", "source", "n_tokens", _copies(F.col("bucket"), F.col("key"), F.col("id"), {c: F.col(c) for c in ("epochs", "cut_bucket", "cut_key", "cut_id")}).alias("copies")).where("copies > 0")
 
 
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """The documents that are taken, with one more column, copies.  Texts aren't shuffled: each row is compared with its source's cut."""
-    rows = stored(keyed(docs, seed), "keys")
-    edge = cuts(rows, targets, total)
+    with scratch(docs.sparkSession):
+        edge = cuts(stored(keyed(docs, seed), "keys"), targets, total)
     ident, source = F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), F.coalesce(docs["source"], F.lit(""))
     key = sample_key(ident, quality_weight(docs["text"]), seed)
     names = {c: fresh(docs, f"cut_{c}") for c in edge.columns}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +28,40 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there and survives lost executors."""
+_scratch: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage ends there and survives lost executors.
+
+    Within ``scratch`` the table goes when that block ends, with ``keep`` when the block around it does (or never).
+    """
     spark = df.sparkSession
     path = shared(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     drop_garbage(spark)
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were stored within the block; what is returned from it must not read them any more."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_garbage(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of steps that nothing refers to any more; it does so when the driver collects garbage."""
     gc.collect()

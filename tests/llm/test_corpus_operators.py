@@ -110,6 +110,37 @@ def test_components_of_a_long_chain(spark):
     assert ngram_join.components(spark.createDataFrame([], "doc_a long, doc_b long")).count() == 0
 
 
+def test_packed_grams_come_back():
+    rng = np.random.default_rng(3)
+    for docs, n in ((1, 0), (5, 3), (2000, 4), (2000, 9000), (3, 70000), (1, 300)):
+        g = rng.integers(0, 1 << 40, n).astype(np.uint64)
+        owner = np.sort(rng.integers(0, docs, n)).astype(np.uint16)
+        level = rng.integers(0, 256, n).astype(np.uint8)
+        a, b, c = ngram_join._unpack(ngram_join._pack(g, owner, docs, level), docs, True)
+        assert (a == g).all() and (b == owner).all() and (c == level).all()
+        full = g | (rng.integers(0, rng.choice([100, 60000, 1 << 20]), n).astype(np.uint64) << np.uint64(40))
+        assert (ngram_join.unpack_set(ngram_join.pack_set(full)) == full).all()
+
+
+def test_levels_grow():
+    got = ngram_join.level_of(np.arange(1, 10**6, 7)).astype(int)
+    assert (np.diff(got) >= 0).all() and ngram_join.level_of(np.array([1, 2, 200, 201])).tolist() == [1, 2, 200, 201]
+
+
+def test_scratch_tables_go_unless_kept(spark):
+    import os
+
+    from routeloom.llm.tables import scratch, stored
+
+    where = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    with scratch(spark):
+        with scratch(spark):
+            a, b = (where(stored(spark.range(3), "t", keep=k)) for k in (False, True))
+        assert not os.path.exists(a) and os.path.exists(b)
+    assert not os.path.exists(b)
+    assert os.path.exists(where(stored(spark.range(3), "t")))
+
+
 # Exact dedup
 
 
@@ -334,7 +365,7 @@ def test_toxicity_scores_equal_a_plain_forward_pass():
             assert got[r] == -np.inf
             continue
         x = m.embeddings[ids + [len(known)] * 2]
-        top = np.concatenate([max((sum(x[k + j] @ w[j] for j in range(len(w))) for k in range(len(ids))), key=lambda z: 0) if False else np.max([sum(x[k + j] @ w[j] for j in range(len(w))) for k in range(len(ids))], axis=0) for w in m.filters])
+        top = np.concatenate([np.max([sum(x[k + j] @ w[j] for j in range(len(w))) for k in range(len(ids))], axis=0) for w in m.filters])
         assert abs(got[r] - (np.maximum(top + m.biases, 0) @ m.weights + m.bias)) < 1e-3
 
 
