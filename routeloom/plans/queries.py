@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from math import cos, sin
 
 import numpy as np
@@ -341,7 +342,7 @@ def leak_scan(spark, d):
     return publish.leaking(c.withColumn("value", F.concat(F.when(F.col("conv_id") % 9 == 0, '{"prompt": 1}').otherwise('{"n": 1}'), F.coalesce("text", F.lit(""))))).select("conv_id", "turn")
 
 
-@query()
+@query("select * from (values " + ", ".join(f"({k}, '{a}', 'vendor/{a}', {k % 2 == 0}, 131072, cast({p} as double), cast({o} as double), '2026-01-01')" for k, (a, p, o) in enumerate(PRICES)) + ") v(index, agent_id, slug, is_reasoning_model, context_window, price_per_1m_prompt_usd, price_per_1m_output_usd, verified_at)")
 def agent_manifest(spark, d):
     agents = spark.createDataFrame([(k, a, f"vendor/{a}", k % 2 == 0, 131072, p, o, "2026-01-01", False) for k, (a, p, o) in enumerate(PRICES)], "index long, id string, slug string, is_reasoning_model boolean, context_window long, price_per_1m_prompt_usd double, price_per_1m_output_usd double, verified_at string, retired boolean")
     return publish.agent_manifest(agents)
@@ -464,13 +465,31 @@ def catalog_pick(spark, d):
     return spark.createDataFrame(sorted(catalog.distinct_vendors(ranked).items()), "slot string, slug string")
 
 
-@query()
+def _mapped(name: str, split: str, ok: str, answer: str, difficulty: str) -> str:
+    return f"select '{name}' as source, i as index, case when {ok} then format('{name}/{split}/{{:06d}}', i) end as task_id, case when {ok} then {answer} end as answer, case when {ok} then {difficulty} end as difficulty, case when not ({ok}) then 'mapper_returned_none' end as reason from d"
+
+
+MAPPED_SQL = "with d as (select doc_id as i, trim(substr(text, 1, 200)) as q, n_chars as n from documents) " + " union all ".join(
+    _mapped(*x)
+    for x in (
+        ("aime2025_i", "test", "q <> '' and n <> 0", "cast(n as varchar)", "'hard'"),
+        ("gsm8k", "test", "q <> ''", "'1' || n", "'easy'"),
+        ("math500", "test", "q <> ''", "cast(n as varchar)", "case n % 6 when 1 then 'easy' when 2 then 'easy' when 3 then 'medium' else 'hard' end"),
+        ("mmlu", "test", "q <> '' and n % 5 < 4", "substr('ABCD', n % 5 + 1, 1)", "'medium'"),
+        ("mmlu_pro", "test", "q <> ''", "'B'", "'hard'"),
+        ("arc_challenge", "test", "q <> ''", "substr('AABCD', n % 5 + 1, 1)", "'medium'"),
+        ("rlpr", "train", "q <> ''", "'yes'", "'hard'"),
+        ("turkish", "test", "q <> ''", "'B'", "'medium'"),
+    )
+)
+
+
+@query(MAPPED_SQL)
 def mapped_sources(spark, d):
-    """Every benchmark mapper over rows made of documents."""
-    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.substring("text", 1, 200).alias("q"), "n_chars")
-    options = F.array(*(F.concat(F.lit(f"option {k} "), F.col("n_chars").cast("string")) for k in range(4)))
+    """The deterministic benchmark mappers over rows made of documents."""
+    docs, options = _raw(spark, d)
     key = F.col("n_chars") % 5
-    made = {
+    return _map_all(docs, {
         "aime2025_i": {"question": F.col("q"), "answer": F.col("n_chars")},
         "gsm8k": {"question": F.col("q"), "answer": F.concat(F.lit("so #### 1,"), F.col("n_chars").cast("string"))},
         "math500": {"problem": F.col("q"), "answer": F.col("n_chars").cast("string"), "level": (F.col("n_chars") % 6).cast("int"), "subject": F.lit("algebra")},
@@ -478,14 +497,25 @@ def mapped_sources(spark, d):
         "mmlu_pro": {"question": F.col("q"), "options": options, "answer": F.lit("B"), "category": F.lit("law")},
         "arc_challenge": {"question": F.col("q"), "choices": F.struct(options.alias("text"), F.array(*map(F.lit, "1234")).alias("label")), "answerKey": key.cast("string")},
         "rlpr": {"prompt": F.array(F.struct(F.lit("user").alias("role"), F.col("q").alias("content"))), "reward_model": F.struct(F.lit("yes").alias("ground_truth")), "extra_info": F.struct(F.lit("PhD").alias("difficulty")), "ability": F.lit("x")},
-        "gpqa_diamond": {"Question": F.col("q"), "Correct Answer": F.lit("right"), **{f"Incorrect Answer {k}": F.lit(f"wrong {k}") for k in (1, 2, 3)}},
         "turkish": {"soru": F.col("q"), "cevap": F.lit("1"), "secenekler": options},
-    }
+    })
+
+
+@query()
+def shuffled_source(spark, d):
+    """The mapper whose options Python's generator shuffles."""
+    docs, _ = _raw(spark, d)
+    return _map_all(docs, {"gpqa_diamond": {"Question": F.col("q"), "Correct Answer": F.lit("right"), **{f"Incorrect Answer {k}": F.lit(f"wrong {k}") for k in (1, 2, 3)}}})
+
+
+def _raw(spark, d) -> tuple[DataFrame, Column]:
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.substring("text", 1, 200).alias("q"), "n_chars")
+    return docs, F.array(*(F.concat(F.lit(f"option {k} "), F.col("n_chars").cast("string")) for k in range(4)))
+
+
+def _map_all(docs: DataFrame, made: dict[str, dict[str, Column]]) -> DataFrame:
     parts = [mappers.map_source(n, docs.select("index", *(c.alias(k) for k, c in cols.items()))).select(F.lit(n).alias("source"), "index", F.col("task.task_id").alias("task_id"), F.col("task.answer").alias("answer"), F.col("task.difficulty").alias("difficulty"), "reason") for n, cols in made.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Router heads
