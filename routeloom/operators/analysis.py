@@ -25,10 +25,35 @@ def error_reduction(oracle: Column, best: Column) -> Column:
     return F.when(1 - best <= 1e-12, F.lit(0.0)).otherwise((oracle - best) / (1 - best))
 
 
+def marked(rm: DataFrame) -> DataFrame:
+    """rm with each task's best and least count, and how many agents have the best."""
+    w = Window.partitionBy("doc_id")
+    t = rm.withColumn("top", F.max("n_correct").over(w)).withColumn("low", F.min("n_correct").over(w))
+    return t.withColumn("alone", F.sum((F.col("n_correct") == F.col("top")).cast("long")).over(w))
+
+
+def cells(rm: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Everything that health needs, in one pass: sums by (dataset, agent, pos).
+
+    ``top``, ``equal`` and ``unique`` belong to tasks and are the same for each agent of a dataset.  What is derived from
+    this table reads its exchange again (Spark reuses it), not the calls.
+    """
+    won = (F.col("n_correct") == F.col("top")) & (F.col("alone") == 1)
+    total = lambda c: F.sum(c.cast("long"))
+    return marked(rm).join(datasets, "doc_id").groupBy("dataset", "agent", "pos").agg(
+        F.count("*").alias("n_tasks"), *(F.sum(c).alias(c) for c in ("n_correct", "n_empty", "n_error", "n_calls", "top")),
+        total(won).alias("wins"), total(F.col("top") == F.col("low")).alias("equal"), total(F.col("alone") == 1).alias("unique"),
+    )
+
+
+def accuracy_of(cells: DataFrame, repetitions: int) -> DataFrame:
+    return cells.select("dataset", "agent", "pos", "n_tasks", "n_correct", (F.col("n_correct") / (F.col("n_tasks") * repetitions)).alias("accuracy"))
+
+
 def dataset_accuracy(rm: DataFrame, datasets: DataFrame, repetitions: int) -> DataFrame:
     """E(D, M): (dataset, agent, pos, n_tasks, n_correct, accuracy)."""
     g = rm.join(datasets, "doc_id").groupBy("dataset", "agent", "pos").agg(F.count("*").alias("n_tasks"), F.sum("n_correct").alias("n_correct"))
-    return g.withColumn("accuracy", F.col("n_correct") / (F.col("n_tasks") * repetitions))
+    return accuracy_of(g, repetitions)
 
 
 def complete(matrix: DataFrame) -> DataFrame:
@@ -65,8 +90,7 @@ def upper_medians(calls: DataFrame) -> DataFrame:
 
 def per_agent(rm: DataFrame, calls: DataFrame, repetitions: int) -> DataFrame:
     """One row for each agent: mean reward, share of tasks it wins alone, empty and error rates, upper median latency."""
-    top = F.max("n_correct").over(Window.partitionBy("doc_id"))
-    won = rm.withColumn("top", top).withColumn("alone", F.sum((F.col("n_correct") == F.col("top")).cast("long")).over(Window.partitionBy("doc_id")))
+    won = marked(rm)
     g = won.groupBy("agent", "pos").agg(
         F.count("*").alias("n_tasks"),
         F.sum("n_correct").alias("n_correct"),
@@ -87,14 +111,11 @@ def per_agent(rm: DataFrame, calls: DataFrame, repetitions: int) -> DataFrame:
 
 def health(rm: DataFrame, datasets: DataFrame, repetitions: int) -> DataFrame:
     """One row of the eleven flat metrics."""
-    tasks = rm.groupBy("doc_id").agg(F.max("n_correct").alias("top"), F.min("n_correct").alias("low"), F.collect_list("n_correct").alias("all"), F.max_by("agent", F.struct("n_correct", -F.col("pos"))).alias("first"))
-    tasks = tasks.withColumn("unique", F.size(F.filter("all", lambda n: n == F.col("top"))) == 1)
-    t = tasks.agg(F.count("*").alias("n"), F.sum("top").alias("top"), F.sum((F.col("top") == F.col("low")).cast("long")).alias("equal"), F.sum(F.col("unique").cast("long")).alias("unique"))
-    wins = tasks.where("unique").groupBy(F.col("first").alias("agent")).agg(F.count("*").alias("wins"))
-    a = rm.groupBy("agent", "pos").agg(F.sum("n_correct").alias("c"), F.sum("n_empty").alias("e"), F.sum("n_error").alias("x"), F.sum("n_calls").alias("k")).join(wins, "agent", "left")
-    a = a.agg(F.max("c").alias("best"), F.max(ratio(F.col("e"), F.col("k"))).alias("empty"), F.max(ratio(F.col("x"), F.col("k"))).alias("error"), F.min(F.coalesce("wins", F.lit(0))).alias("wins"), F.count("*").alias("agents"))
-    m = combination(dataset_accuracy(rm, datasets, repetitions))
-    one = t.crossJoin(a).crossJoin(m)
+    base = cells(rm, datasets)
+    t = base.where("pos = 0").agg(F.sum("n_tasks").alias("n"), *(F.sum(c).alias(c) for c in ("top", "equal", "unique")))
+    a = base.groupBy("agent").agg(*(F.sum(c).alias(c) for c in ("n_correct", "n_empty", "n_error", "n_calls", "wins")))
+    a = a.agg(F.max("n_correct").alias("best"), F.max(ratio(F.col("n_empty"), F.col("n_calls"))).alias("empty"), F.max(ratio(F.col("n_error"), F.col("n_calls"))).alias("error"), F.min("wins").alias("wins"), F.count("*").alias("agents"))
+    one = t.crossJoin(a).crossJoin(combination(accuracy_of(base, repetitions)))  # one row each
     calls = F.col("n") * repetitions
     oracle, best = F.col("top") / calls, F.col("best") / calls
     return one.select(
