@@ -37,13 +37,12 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     Within ``scratch`` the table goes when that block ends, with ``keep`` when the block around it does (or never).
     """
     spark = df.sparkSession
+    drop_garbage(spark)  # of the step before, which the caller has let go by now
     path = shared(spark, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
     if len(_scratch) > keep:
         _scratch[-1 - keep].append(path)
-    drop_garbage(spark)
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
