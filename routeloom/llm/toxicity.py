@@ -16,7 +16,8 @@ a sum of table rows, so that whole Arrow slices are scored by lookups.
 
 Defined cases: a text without words (null or empty, too) has score 0 and isn't
 toxic; a null or unknown language has the common threshold.  If the labels lack
-one of the classes, all scores are 0.  Rows are scored one by one, repeated ones
+one of the classes, all scores are 0 and nothing is toxic; if only the calibrating
+quarter lacks one, the threshold is 0.5.  Rows are scored one by one, repeated ones
 alike; other columns are ignored.
 """
 
@@ -208,6 +209,7 @@ def fit(sample: list) -> Model:
     if not m.biases.any():
         return m
     kept = [r for r, h in zip(sample, held) if h]
+    m.threshold = 0.5
     if not kept:
         return m
     scores = sigmoid(m.logits(tk.tokens(pa.array([r.text for r in kept])), m.lookup(), m.tables()))
