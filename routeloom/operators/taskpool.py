@@ -24,6 +24,24 @@ def seeded(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}/"), key))
 
 
+def ranked(keys: DataFrame, groups: list[str], key: Column) -> DataFrame:
+    """With ``rn``, the position in its group by (key, task_id) from 1 on, and ``n``, the group's size; key is a hexadecimal digest.
+
+    No group is sorted as a whole: its rows fall into 4096 buckets by the first digits of the digest, ranks start behind
+    the buckets before, and only buckets are sorted.
+    """
+    rows = keys.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))
+    sizes = rows.groupBy(*groups, "_bucket").agg(F.count("*").alias("_own"))
+    w = Window.partitionBy(*groups)
+    sizes = sizes.withColumn("_before", F.sum("_own").over(w.orderBy("_bucket")) - F.col("_own")).withColumn("n", F.sum("_own").over(w))
+    sizes = sizes.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(groups)), F.col("_bucket").alias("_b"), "_before", "n")
+    same = F.col("_bucket") == F.col("_b")
+    for k, c in enumerate(groups):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{k}"))
+    own = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy("_key", "task_id"))
+    return rows.join(sizes, same).withColumn("rn", F.col("_before") + own).select(*keys.columns, "rn", "n")
+
+
 def deduplicated(tasks: DataFrame, fingerprint: Column) -> DataFrame:
     """The task of the least id of each fingerprint.
 
@@ -67,8 +85,7 @@ def domain_counts(tasks: DataFrame) -> dict[str, int]:
 def balanced(tasks: DataFrame, max_share: float = MAX_SHARE, seed: int = SEED) -> DataFrame:
     """Native: the first tasks of each domain by seeded digest, as many as the cap allows."""
     cap = largest_cap(domain_counts(tasks).values(), max_share)
-    order = Window.partitionBy("domain").orderBy(seeded(seed, F.col("task_id")), "task_id")
-    keys = tasks.select("domain", "task_id").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= cap)
+    keys = ranked(tasks.select("domain", "task_id"), ["domain"], seeded(seed, F.col("task_id"))).where(F.col("rn") <= cap)
     return tasks.join(keys.select("task_id"), "task_id", "left_semi")
 
 
@@ -95,9 +112,8 @@ def _check(ratios: Mapping[str, float]) -> None:
 def split(tasks: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = SEED) -> DataFrame:
     """Native: position by seeded digest within (domain, difficulty) against half-even cut points; held-out tasks are test."""
     _check(ratios)
-    w = Window.partitionBy("domain", "difficulty", "held_out")
     keys = tasks.select("task_id", "domain", "difficulty", (F.col("task_group") == "held_out").alias("held_out"))
-    keys = keys.withColumn("rn", F.row_number().over(w.orderBy(seeded(seed, F.col("task_id")), "task_id"))).withColumn("n", F.count("*").over(w))
+    keys = ranked(keys, ["domain", "difficulty", "held_out"], seeded(seed, F.col("task_id")))
     train = F.bround(F.col("n") * F.lit(float(ratios["train"])), 0)
     valid = train + F.bround(F.col("n") * F.lit(float(ratios["validation"])), 0)
     at = F.when(F.col("held_out"), "test").when(F.col("rn") <= train, "train").when(F.col("rn") <= valid, "validation").otherwise("test")

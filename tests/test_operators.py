@@ -149,6 +149,17 @@ def test_splits(spark):
     assert [got[i] for i in ids] == ["train"] * 7 + ["validation"] * 2 + ["test"] * 2
 
 
+def test_ranks_against_a_plain_sort(spark):
+    import hashlib
+
+    rows = [(f"t{k % 300:04d}", ("m", "k", None)[k % 3]) for k in range(310)]  # some ids twice
+    got = taskpool.ranked(spark.createDataFrame(rows, "task_id string, domain string"), ["domain"], taskpool.seeded(42, F.col("task_id"))).collect()
+    for d in ("m", "k", None):
+        own = sorted((hashlib.md5(f"42/{i}".encode()).hexdigest(), i) for i, e in rows if e == d)
+        assert sorted((r.rn, r.task_id) for r in got if r.domain == d) == [(k, i) for k, (_, i) in enumerate(own, 1)]
+        assert {r.n for r in got if r.domain == d} == {len(own)}
+
+
 def test_dedupe_keeps_the_least_id(spark):
     from routeloom.functions import grading
 
