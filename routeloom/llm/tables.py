@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -61,10 +62,16 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_garbage(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of steps that nothing refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop_garbage(spark: SparkSession, rounds: int = 1) -> None:
+    """Lets Spark delete shuffle files of steps that nothing refers to any more; it does so when the driver collects garbage.
+
+    What the very last step left takes a second round, after the first has let Python's references go.
+    """
+    for k in range(rounds):
+        if k:
+            time.sleep(0.3)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
