@@ -42,14 +42,17 @@ def ranked(keys: DataFrame, groups: list[str], key: Column) -> DataFrame:
     return rows.join(sizes, same).withColumn("rn", F.col("_before") + own).select(*keys.columns, "rn", "n")
 
 
+def kept_fingerprints(tasks: DataFrame, fingerprint: Column) -> DataFrame:
+    """(task_id, fingerprint): the least task id of each fingerprint."""
+    return tasks.select("task_id", fingerprint.alias("fingerprint")).groupBy("fingerprint").agg(F.min("task_id").alias("task_id")).select("task_id", "fingerprint")
+
+
 def deduplicated(tasks: DataFrame, fingerprint: Column) -> DataFrame:
-    """The task of the least id of each fingerprint.
+    """The task of the least id of each fingerprint; task ids are unique.
 
-    Aggregates ids by fingerprint and joins back, so prompts aren't sorted and copies of one prompt don't meet in one task.
+    Ids are aggregated by fingerprint and joined back, so each prompt is normalised once and copies of one prompt don't meet in one task.
     """
-    marked = tasks.withColumn("fingerprint", fingerprint)
-    keep = marked.groupBy("fingerprint").agg(F.min("task_id").alias("task_id"))
-    return marked.join(keep, ["fingerprint", "task_id"], "left_semi")
+    return tasks.join(kept_fingerprints(tasks, fingerprint).select("task_id"), "task_id", "left_semi")
 
 
 def domain_shares(tasks: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ def _deduped(spark, d):
 
 @query(f"with {DEDUPED_SQL} select task_id, fingerprint from ded")
 def task_fingerprint_dedupe(spark, d):
-    return _deduped(spark, d).select("task_id", "fingerprint")
+    return taskpool.kept_fingerprints(fx.tasks(spark, d), grading.ascii_fingerprint_col(F.col("prompt")))
 
 
 @query(f"with {DEDUPED_SQL} select (select count(*) from tasks) as n_tasks, (select count(*) from ded) as n_kept, (select count(*) from tasks) - (select count(*) from ded) as n_dropped")
@@ -229,7 +229,7 @@ def dedupe_drop_count(spark, d):
 
 @query()
 def task_fingerprint_unicode(spark, d):
-    return taskpool.deduplicated(fx.tasks(spark, d), grading.fingerprint_col(F.col("prompt"))).select("task_id", "fingerprint")
+    return taskpool.kept_fingerprints(fx.tasks(spark, d), grading.fingerprint_col(F.col("prompt")))
 
 
 @query(f"with {TASKS_SQL}, n as (select domain, count(*) as n from tasks group by 1) select domain, n, round(n / sum(n) over (), 6) as share, greatest(cast(0.3 as double), 1 / count(*) over ()) as cap from n")

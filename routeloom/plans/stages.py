@@ -54,7 +54,7 @@ def build_tasks(spark: SparkSession, limits: Mapping[str, int], rows: Mapping[st
         parts.append(mapped.where("reason is null").select("task.*"))
     if not parts:
         raise IntegrityError(f"no source could be read: {built.unavailable}")
-    pool = taskpool.deduplicated(reduce(DataFrame.unionByName, parts), fingerprint_col(F.col("prompt"))).drop("fingerprint")
+    pool = taskpool.deduplicated(reduce(DataFrame.unionByName, parts), fingerprint_col(F.col("prompt")))
     pool = (taskpool.balanced_compat if compat else taskpool.balanced)(pool, max_share, seed)
     built.tasks = (taskpool.split_compat if compat else taskpool.split)(pool, seed=seed)
     must_be_empty(taskpool.leaks(built.tasks), "split leakage")
