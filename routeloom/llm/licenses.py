@@ -1,14 +1,17 @@
 """Operator 5: license scans by Dice's coefficient over word bigrams.
 
-A document is cut into units: all of it, its paragraphs (between empty lines),
-its lines and its sentences.  A unit's distinct word bigrams are compared with
-those of each template; ``2 |A and B| / (|A| + |B|)`` of at least THRESHOLD is a
-match.  Sizes bound the coefficient by ``2 min / (min + max)``, which leaves only
-the templates of near sizes to compare.
+A document is cut at empty lines, line ends and sentence ends.  A unit is any run
+from the start of a paragraph, line or sentence to the end of one, so a license of
+several paragraphs is found inside a longer document.  A unit's distinct word
+bigrams are compared with those of each template; ``2 |A and B| / (|A| + |B|)`` of
+at least THRESHOLD is a match.
 
 A unit that matches template T has at least ``h = ceil(t |T| / (2 - t))`` of its
-bigrams, so it has one of any ``|T| - h + 1`` of them.  Documents without any such
-bigram are passed over, exactly, after a lookup of their bigrams' hashes.
+bigrams; documents with fewer are passed over, exactly, after a lookup of their
+bigrams' hashes.  In the others units grow from the places of T's bigrams: the best
+unit, and among equals the shortest, begins and ends in a piece with a bigram of T
+that it has nowhere else, because it is no worse without any other piece; and it
+has at most ``|T| (2 - t) / t`` distinct bigrams.
 
 Result: one row for each document and matching license, with the best
 coefficient and the place (character offsets) of the first shortest unit that
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +63,6 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
 }
-_COMMON = frozenset("a an and any are as at be by can for from if in into is it may no not of on or other shall that the this to under with without you".split())
 _TOKEN = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _CUTS = (re.compile(r"\n[^\S\n]*\n\s*"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+|\n"))
 
@@ -73,46 +76,94 @@ def bigrams(w: list[str]) -> frozenset[tuple[str, str]]:
 
 
 @cache
-def library() -> tuple[list[tuple[int, str, frozenset]], np.ndarray]:
-    """Templates (size, license, bigrams) by size, and the sorted hashes of bigrams of which a match has one."""
-    templates = sorted(((len(b := bigrams(words(t))), name, b) for name, texts in TEMPLATES.items() for t in texts), key=lambda x: x[:2])
-    need: set[tuple[str, str]] = set()
-    for size, _, own in templates:
-        rest = size - int(-(-THRESHOLD * size // (2 - THRESHOLD))) + 1
-        need |= set(sorted(own, key=lambda b: (sum(w in _COMMON for w in b), -len(b[0]) - len(b[1]), b))[:rest])
-    pairs = tk.tokens(pa.array([" ".join(b) for b in sorted(need)]))
-    return templates, np.unique(np.concatenate([tk.ngrams(pairs.row(r), 2) for r in range(len(need))]))
+def library() -> tuple[list[tuple[int, int, str]], dict[tuple[str, str], int], np.ndarray, np.ndarray, np.ndarray]:
+    """Templates (size, least common bigrams, license), numbers of their bigrams, which template has which, and the bigrams' sorted hashes with their numbers."""
+    own = [(name, bigrams(words(t))) for name, texts in TEMPLATES.items() for t in texts]
+    number = {b: k for k, b in enumerate(sorted(set().union(*(b for _, b in own))))}
+    has = np.zeros((len(number), len(own)), np.int32)
+    for k, (_, b) in enumerate(own):
+        has[[number[x] for x in b], k] = 1
+    pairs = tk.tokens(pa.array([" ".join(b) for b in number]))
+    hashes = np.concatenate([tk.ngrams(pairs.row(r), 2) for r in range(len(number))])
+    order = np.argsort(hashes)
+    return [(len(b), ceil(THRESHOLD * len(b) / (2 - THRESHOLD) - 1e-9), name) for name, b in own], number, has, hashes[order], order
+
+
+def _cuts(text: str) -> tuple[list[int], list[int]]:
+    """Sorted starts and ends of the paragraphs, lines and sentences."""
+    starts, ends = {0}, {len(text)}
+    for pattern in _CUTS:
+        for m in pattern.finditer(text):
+            ends.add(m.start())
+            starts.add(m.end())
+    return sorted(starts), sorted(ends)
 
 
 def units(text: str) -> list[tuple[int, int]]:
-    """Distinct spans of the whole text, its paragraphs, lines and sentences."""
-    spans = {(0, len(text))}
-    for pattern in _CUTS:
-        at = 0
-        for m in pattern.finditer(text):
-            spans.add((at, m.start()))
-            at = m.end()
-        spans.add((at, len(text)))
-    return sorted(s for s in spans if s[0] < s[1])
+    """Spans from any start of a paragraph, line or sentence to any end of one; scan() doesn't list them all."""
+    starts, ends = _cuts(text)
+    return [(a, b) for a in starts for b in ends if a < b]
 
 
 def scan(text: str) -> dict[str, tuple[float, int, int]]:
     """Best (dice, start, end) by license."""
-    templates, _ = library()
-    sizes = np.array([t[0] for t in templates])
-    ratio = (2 - THRESHOLD) / THRESHOLD
+    templates, number, has, _, _ = library()
+    starts, ends = _cuts(text)
+    points = sorted({*starts, *ends})
+    w: list[str] = []
+    before = {}
+    for p, q in zip(points, [*points[1:], len(text)]):
+        before[p] = len(w)
+        w += words(text[p:q])
+    if len(w) < 2:
+        return {}
+    # of the spans with the same words, the shortest
+    start_of = {before[a]: a for a in starts}
+    end_of = {before[b]: b for b in reversed(ends)}
+    first, last = np.array(sorted(start_of)), np.array(sorted(end_of))
+
+    grams: dict[tuple[str, str], int] = {}
+    code = np.array([grams.setdefault(b, len(grams)) for b in zip(w, w[1:])])
+    n = len(code)
+    ids = np.array([number.get(b, -1) for b in grams])
+    order = np.argsort(code, kind="stable")
+    same = code[order[1:]] == code[order[:-1]]
+    prev, after = np.full(n, -1), np.full(n, n)  # the same bigram's places before and after
+    prev[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+
     best: dict[str, tuple[float, int, int]] = {}
-    for a, b in units(text):
-        own = bigrams(words(text[a:b]))
-        if not own:
+    seen = has[ids[ids >= 0]].sum(axis=0)
+    for k, (size, least, name) in enumerate(templates):
+        if seen[k] < least:
             continue
-        lo, hi = np.searchsorted(sizes, len(own) / ratio - 1e-9), np.searchsorted(sizes, len(own) * ratio + 1e-9, "right")
-        for size, name, other in templates[lo:hi]:
-            dice = 2 * len(own & other) / (len(own) + size)
-            if dice >= THRESHOLD:
-                old = best.get(name)
-                if old is None or (-dice, b - a, a) < (-old[0], old[2] - old[1], old[1]):
-                    best[name] = (dice, a, b)
+        most = int(size * (2 - THRESHOLD) / THRESHOLD + 1e-9)
+        own = ((ids >= 0) & (has[ids, k] > 0))[code]
+        at = np.flatnonzero(own)
+        stops = np.unique(last[np.searchsorted(last, at + 2)]) - 1  # ends that have a bigram of the template in their last piece
+        piece = np.searchsorted(first, at, "right") - 1
+        limit = np.zeros(len(first), np.int64)
+        np.maximum.at(limit, piece, after[at])
+        enough = np.searchsorted(at, limit) - np.searchsorted(at, first) >= least
+        for f in np.flatnonzero(enough & (limit > first)):
+            i, far = int(first[f]), int(limit[f])
+            length = 2 * most
+            while True:
+                stop = min(far, i + length)
+                new = prev[i:stop] < i
+                count = np.cumsum(new)
+                if stop == far or count[-1] > most:
+                    break
+                length *= 2
+            e = stops[np.searchsorted(stops, i, "right") : np.searchsorted(stops, i + int(np.searchsorted(count, most, "right")), "right")]
+            if not len(e):
+                continue
+            common = np.cumsum(new & own[i:stop])[e - i - 1]
+            dice = 2 * common / (count[e - i - 1] + size)
+            x = int(dice.argmax())  # the first is the shortest
+            if dice[x] >= THRESHOLD:
+                a, b, old = start_of[i], end_of[int(e[x]) + 1], best.get(name)
+                if old is None or (-dice[x], b - a, a) < (-old[0], old[2] - old[1], old[1]):
+                    best[name] = (float(dice[x]), a, b)
     return best
 
 
@@ -120,7 +171,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license, dice, start, stop) for each document and license that it has; dice has six decimals."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, need = library()
+        templates, _, has, need, ids_of = library()
+        least = np.array([t[1] for t in templates])
         for batch in batches:
             for s in tk.slices(batch, "text"):
                 column = s.column("text")
@@ -130,7 +182,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 at = np.searchsorted(need, pair)
                 at[at == len(need)] = 0
                 hit = np.flatnonzero(need[at] == pair)
-                rows = np.unique(np.searchsorted(t.rows, hit, "right") - 1)
+                held = np.unique((np.searchsorted(t.rows, hit, "right") - 1) * len(need) + ids_of[at[hit]])  # distinct bigrams of each row
+                rows, begin = np.unique(held // len(need), return_index=True)
+                if len(rows):
+                    rows = rows[(np.add.reduceat(has[held % len(need)], begin) >= least).any(axis=1)]
                 ids = s.column("doc_id")
                 out = [(ids[int(r)].as_py(), name, round(d, 6), a, b) for r in rows for name, (d, a, b) in sorted(scan(column[int(r)].as_py()).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "license", "dice", "start", "stop"])

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +213,57 @@ def test_license_scan_against_brute_force(spark):
     assert None in got and 103 in got and not {100, 101, 102} & set(got)
 
 
+def best_window(text, template):
+    """Best Dice of a run of lines with one template, from the lines alone."""
+    w = [re.findall(r"[a-z0-9]+", x.lower()) for x in text.split("\n")]
+    t = re.findall(r"[a-z0-9]+", template.lower())
+    other, best = set(zip(t, t[1:])), 0
+    for i in range(len(w)):
+        own, end = set(), []
+        for line in w[i:]:
+            run = end + line
+            own |= set(zip(run, run[1:]))
+            end = run[-1:]
+            best = max(best, 2 * len(own & other) / (len(own) + len(other)) if own else 0)
+    return best
+
+
+PARAGRAPHS = {"MIT": ["to the following conditions: ", "portions of the Software. "], "BSD-3-Clause": ["are met: ", "following disclaimer. ", "the distribution. ", "written permission. "], "GPL-3.0": ["any later version. "], "Apache-2.0": ["with the license ", "license 2 0 "], "ISC": ["in all copies. "]}
+
+
+@pytest.mark.parametrize("name", PARAGRAPHS)
+@pytest.mark.parametrize("width", [60, 76, 10_000])
+def test_licenses_of_several_paragraphs_inside_long_documents(name, width):
+    rng = random.Random(5)
+    filler = lambda: textwrap.fill(" ".join(rng.choice(["lorem", "ipsum", "dolor", "of the", "amet.", "this", "elit"]) + str(rng.randrange(99)) for _ in range(100)), width)
+    template = licenses.TEMPLATES[name][-1] if name != "BSD-3-Clause" else licenses.TEMPLATES[name][1]
+    body = template
+    for cut in PARAGRAPHS[name]:
+        assert cut in body
+        body = body.replace(cut, cut + "\n\n", 1)
+    body = "\n\n".join(textwrap.fill(p, width) for p in body.split("\n\n"))
+    text = "\n\n".join([*(filler() for _ in range(5)), body, *(filler() for _ in range(5))])
+    dice, a, b = licenses.scan(text)[name]
+    assert dice == 1.0 and text[a:b] in body and b - a > 0.95 * len(body)  # a last line may have only bigrams from before
+    odd = text.replace("the above", "this above").replace("Software", "Work").replace("distribut", "spread")
+    assert licenses.scan(odd)[name][0] >= best_window(odd, template) >= licenses.THRESHOLD
+
+
+def test_license_places_against_all_units():
+    rng = random.Random(8)
+    pool = [t for texts in licenses.TEMPLATES.values() for t in texts if len(t) < 700]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            w = rng.choice(pool).split()
+            for _ in range(rng.randint(0, len(w) // 6 + 1)):
+                w[rng.randrange(len(w))] = rng.choice(["foo", "bar", "the", "x.", "İx"])
+            parts += [textwrap.fill(" ".join(w), rng.choice([40, 70, 200])), rng.choice(["", "foo bar. baz the", "the license under"])]
+        rng.shuffle(parts)
+        text = rng.choice(["\n", "\n\n", "\n \n ", " "]).join(parts)
+        assert licenses.scan(text) == brute_scan(text)
+
+
 # Personal data
 
 IDENT = [("email", "jane.doe@mail.example.com"), ("ip", "10.20.30.40"), ("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("phone", "+1 (887) 555-2355"), ("iban", "GB82 WEST 1234 5698 7654 32")]
