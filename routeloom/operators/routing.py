@@ -126,6 +126,16 @@ def head_report(theta: np.ndarray, x: np.ndarray, rewards: np.ndarray, hidden: i
     return {"router": got, "uniform": float(rewards.mean()), "best_fixed": fixed, "oracle": float(rewards.max(axis=1).mean()), "beats_best_fixed": got > fixed}
 
 
+def head_summary(scored: DataFrame, agents: int) -> DataFrame:
+    """head_report() of a table (pick, rewards: one for each agent) in one row; all null without rows."""
+    own = F.avg(F.element_at("rewards", F.col("pick") + 1)).alias("router")
+    each = [F.avg(F.col("rewards")[k]).alias(f"m{k}") for k in range(agents)]
+    g = scored.agg(own, F.avg(F.array_max("rewards")).alias("oracle"), *each)
+    means = [F.col(f"m{k}") for k in range(agents)]
+    g = g.select("router", (sum(means[1:], means[0]) / agents).alias("uniform"), F.array_max(F.array(*means)).alias("best_fixed"), "oracle")
+    return g.withColumn("beats_best_fixed", F.col("router") > F.col("best_fixed"))
+
+
 def training_rows(rewards: DataFrame, tasks: DataFrame, least: int = 10) -> DataFrame:
     """Rewards (task_id, ...) with their prompts; those without a task or with a blank prompt are dropped.  Fewer than ``least`` are an error."""
     prompts = tasks.where(F.trim(F.coalesce("prompt", F.lit(""))) != "").select("task_id", "prompt")

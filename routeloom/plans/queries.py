@@ -532,15 +532,24 @@ def linear_head_route(spark, d):
     return e.select("vec_id", routing.first_best(F.col("z")).alias("pick"), F.round(F.array_max("z"), 4).alias("logit"))
 
 
-#: Vectors that a head is trained on: training is a search on the driver, and this bounds what it gathers.
+#: Vectors that a head is trained on: training is a search on the driver, and this bounds what it gathers.  Nothing else is taken from this sample.
 TRAIN_VECTORS = 500
 
 
 @query()
 def head_vs_baselines(spark, d):
-    """A head trained on a bounded sample of embeddings, with rewards made of their labels."""
-    rows = fx.table(spark, d, "embeddings").orderBy(F.md5(F.col("vec_id").cast("string"))).limit(TRAIN_VECTORS).collect()
+    """A head trained on a bounded sample of embeddings, with rewards made of their labels.
+
+    value is over all embeddings, held_out over those that the head wasn't trained on (null if there are none)."""
+    e = fx.table(spark, d, "embeddings").select("embedding", "label", F.md5(F.col("vec_id").cast("string")).alias("digest"))
+    rows = e.orderBy("digest").limit(TRAIN_VECTORS).collect()
     x = np.array([r.embedding for r in rows], float)
     rewards_of = np.array([[1.0 if r.label % HEADS == k else 0.0 for k in range(HEADS)] for r in rows])
     theta = routing.train_head(x, rewards_of, generations=20)
-    return spark.createDataFrame([(k, float(v)) for k, v in routing.head_report(theta, x, rewards_of).items()], "metric string, value double")
+    ((w, b),) = routing.unflatten(theta, x.shape[1], HEADS)
+    agents = F.array(*((F.pmod("label", F.lit(HEADS)) == k).cast("double") for k in range(HEADS)))
+    scored = e.select(routing.first_best(routing.linear_logits(F.col("embedding"), w.tolist(), b.tolist())).alias("pick"), agents.alias("rewards"), (F.col("digest") > rows[-1].digest).alias("new"))
+    report = routing.head_summary(scored, HEADS).collect()[0]
+    held_out = routing.head_summary(scored.where("new"), HEADS).collect()[0]
+    as_value = lambda v: None if v is None else float(v)
+    return spark.createDataFrame([(k, as_value(report[k]), as_value(held_out[k])) for k in report.asDict()], "metric string, value double, held_out double")

@@ -1,5 +1,6 @@
 """Rewards, analysis, routing, task pool, catalogue, collection, publication, reports, sources and streaming."""
 
+import hashlib
 import json
 import random
 
@@ -405,6 +406,28 @@ def test_head_shapes_and_training():
     assert not routing.head_report(theta, x, np.ones((80, 3)))["beats_best_fixed"]
 
 
+@pytest.mark.parametrize("trained", [60, 10_000])
+def test_head_is_reported_on_all_embeddings(spark, tmp_path, monkeypatch, trained):
+    from routeloom.plans import queries
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6))
+    label = (x[:, :5].argmax(axis=1) + 5 * rng.integers(0, 3, 400)).tolist()
+    spark.createDataFrame([(k, v, y) for k, (v, y) in enumerate(zip(x.tolist(), label))], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = x.astype(np.float32).astype(float)
+    r = np.array([[float(y % 5 == k) for k in range(5)] for y in label])
+    monkeypatch.setattr(queries, "TRAIN_VECTORS", trained)
+    order = np.array(sorted(range(400), key=lambda k: hashlib.md5(str(k).encode()).hexdigest()))
+    theta = routing.train_head(x[order[:trained]], r[order[:trained]], generations=20)
+    got = {m.metric: m for m in queries.head_vs_baselines(spark, str(tmp_path)).collect()}
+    want = lambda at: pytest.approx({k: float(v) for k, v in routing.head_report(theta, x[at], r[at]).items()})
+    assert {k: m.value for k, m in got.items()} == want(order)
+    if len(rest := order[trained:]):
+        assert {k: m.held_out for k, m in got.items()} == want(rest)
+    else:
+        assert {m.held_out for m in got.values()} == {None}
+
+
 # Streaming
 
 
