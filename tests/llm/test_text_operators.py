@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import textwrap
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -264,6 +265,35 @@ def test_license_places_against_all_units():
         assert licenses.scan(text) == brute_scan(text)
 
 
+TITLES = {"MIT": "MIT License", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "Apache-2.0": "Apache License", "GPL-3.0": "GNU GPL", "MPL-2.0": "Mozilla Public License", "Unlicense": "The Unlicense"}
+
+
+@pytest.mark.parametrize("name", TITLES)
+def test_standard_texts_with_title_and_copyright(name):
+    text = licenses.TEMPLATES[name][-1]
+    head = f"{TITLES[name]}\n\nCopyright (c) 2024, Jane Doe and the example authors\nAll rights reserved.\n\n"
+    one_line = head.replace("\n", " ") + text
+    assert licenses.scan(one_line.replace(". ", ", ").replace("? ", ", ")).get(name, (0,))[0] >= licenses.THRESHOLD  # no sentence ends: one unit
+    assert licenses.scan(head + textwrap.fill(text, 76))[name][0] > 0.97
+
+
+@pytest.mark.parametrize("name,stop", [("Apache-2.0", "END OF TERMS AND CONDITIONS"), ("GPL-3.0", "END OF TERMS AND CONDITIONS"), ("MPL-2.0", "Exhibit A - Source Code Form License Notice")])
+def test_full_license_texts(spark, name, stop):
+    text = Path(licenses.__file__).with_name("license_texts").joinpath(f"{name}.txt").read_text()
+    terms = text[: text.index(stop)]
+    around = "\n\n".join(f"Lorem{k} ipsum dolor sit amet{k}." for k in range(200))
+    made = [(1, text), (2, terms), (3, f"Copyright 2024 Jane Doe\nAll rights reserved.\n\n{terms}"), (4, f"{around}\n\n{terms}\n\n{around}"), (5, terms[: len(terms) // 3])]
+    got = {(r.doc_id, r.license): r for r in licenses.license_scan(rows(spark, "doc_id long, text string", *made)).collect()}
+    assert {k for k, n in got if n == name} == {1, 2, 3, 4}
+    assert min(got[k, name].dice for k in (1, 2, 3, 4)) > 0.9
+    assert got[4, name].dice == got[2, name].dice and got[4, name].start >= len(around) and got[4, name].stop <= len(around) + len(terms) + 4
+
+
+def test_bsd_and_unlicense_are_whole():
+    for name, end in (("BSD-3-Clause", "SUCH DAMAGE."), ("Unlicense", "please refer to <http://unlicense.org/>")):
+        assert licenses.TEMPLATES[name][-1].endswith(end)
+
+
 # Personal data
 
 IDENT = [("email", "jane.doe@mail.example.com"), ("ip", "10.20.30.40"), ("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("phone", "+1 (887) 555-2355"), ("iban", "GB82 WEST 1234 5698 7654 32")]
