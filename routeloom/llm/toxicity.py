@@ -1,8 +1,10 @@
 """Operator 1: toxicity by a convolutional text classifier, trained in numpy.
 
 Words are hashed into 2 ** BITS buckets.  Buckets whose counts of toxic and of
-clean documents in the sample are far from chance (a log-likelihood ratio of at
-least SIGNIFICANT) have an embedding, all others share one of zeros, so that the words of single
+clean documents in the sample are far from chance have an embedding: those that a
+false-discovery rate of FALSE lets through, and those with a log-likelihood ratio of
+at least SIGNIFICANT.  If there are none, the FALLBACK buckets with the greatest
+ratio have one.  All others share one of zeros, so that the words of single
 documents can't be learnt by heart; near copies within the sample count once.
 Filters of widths 1, 2 and 3 slide over the embeddings of a document, each is
 max-pooled over all of it, and a logistic layer combines the rectified maxima.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ BITS, DIM, WIDTHS, FILTERS = 22, 12, (1, 2, 3), 6
 SAMPLE_ROWS = 8000
 #: Least logarithm of how much likelier than chance a word's counts in the two classes are.
 SIGNIFICANT = 12.0
+#: Share of words that are let through by chance, and how many words there are where none is.
+FALSE, FALLBACK = 0.01, 50
 EPOCHS, RATE, SEED = 6, 0.08, 13
 CALIBRATION = 15
 
@@ -104,7 +109,15 @@ def vocabulary(docs: list[tuple[np.ndarray, int]]) -> np.ndarray:
     share, base = toxic / np.maximum(1, clean + toxic), size[1] / (size[0] + size[1])
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.nan_to_num(toxic * np.log(share / base)) + np.nan_to_num(clean * np.log((1 - share) / (1 - base)))
-    return seen[gain >= SIGNIFICANT]
+    # twice the gain is chi-squared by chance; Benjamini and Hochberg's bar
+    order = np.argsort(-gain, kind="stable")
+    chance = np.array([erfc(sqrt(max(0.0, g))) for g in gain[order]])
+    passed = np.flatnonzero(chance <= FALSE * np.arange(1, len(seen) + 1) / max(1, len(seen)))
+    own = gain >= SIGNIFICANT
+    own[order[: passed[-1] + 1 if len(passed) else 0]] = True
+    if not own.any():
+        own[order[:FALLBACK]] = gain[order[:FALLBACK]] > 1e-9
+    return seen[own]
 
 
 def without_near_copies(hashes: list[np.ndarray]) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -349,6 +350,20 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.toxicity(docs.limit(0), labels_of(spark, train, "toxic")).count() == 0
 
 
+def test_toxic_words_of_a_small_sample():
+    doc = lambda k, w: (toxicity.buckets(tk.tokens(pa.array([f"alpha{k % 7} beta{k % 5} {w}"])).hashes), int(bool(w)))
+    word = lambda w: int(toxicity.buckets(tk.tokens(pa.array([w])).hashes)[0])
+    few = [doc(k, "vile" if k % 10 == 0 else "") for k in range(40)]  # 4 toxic: a ratio of 9.2, but nothing else is near
+    assert toxicity.vocabulary(few).tolist() == [word("vile")]
+    least = [doc(k, "vile" if k == 0 else "") for k in range(8)]  # none passes: the best are taken
+    assert word("vile") in toxicity.vocabulary(least) and len(toxicity.vocabulary(least)) <= toxicity.FALLBACK
+    sample = [SimpleNamespace(doc_id=k, text=f"first{k} second{k * 7 % 31} third{k}" + " vile" * (k % 10 == 0), lang="en", y=int(k % 10 == 0)) for k in range(80)]
+    m = toxicity.fit(sample)
+    p = toxicity.sigmoid(m.logits(tk.tokens(pa.array(["some words here", "some vile words"])), m.lookup(), m.tables()))
+    assert m.threshold < 1 and p[0] < m.threshold <= p[1]
+    assert len(toxicity.vocabulary([])) == 0
+
+
 def test_toxicity_scores_equal_a_plain_forward_pass():
     rng = np.random.default_rng(0)
     col = pa.array([t for _, t, _, _ in toxic_corpus(20, 3)] + ["", None, "one"])
