@@ -18,7 +18,8 @@ the page has no decided block.
 
 Defined cases: a null or empty page, or one without text, gives the empty text
 and no blocks.  Unclosed tags, stray ``<`` and unknown entities are text or
-tags as browsers have it; an unclosed script reaches to the end.  Each row is
+tags as browsers have it; an unclosed script reaches to the end, and
+a head without end tag to the first element that can't be in one.  Each row is
 read by itself; null ids and urls, repeated rows and other columns do no harm.
 """
 
@@ -44,8 +45,11 @@ STOP_WORDS = {
 }
 _STOPS = {k: frozenset(v.split()) for k, v in STOP_WORDS.items()}
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-_HIDDEN = "head|script|style|noscript|template|svg|textarea|object"
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*+)(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|<(/?)([a-zA-Z][a-zA-Z0-9]*+)[^>]*+>|<[!?][^>]*+>", re.S | re.I)
+_HIDDEN = "script|style|noscript|template|svg|textarea|object"
+# a head ends at its end tag, or before the first element that can't be in one
+_IN_HEAD = "|".join(rf"<{x}\b[^>]*+>.*?(?:</{x}\s*+>|\Z)" for x in "script style noscript template title object".split())
+_HEAD = rf"<head\b[^>]*+>(?:[^<]++|<!--.*?(?:-->|\Z)|{_IN_HEAD}|(?!</head\s*+>|<(?!(?:base|basefont|bgsound|link|meta|noframes|html|head)\b)[a-zA-Z])<)*+(?:</head\s*+>)?"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|{_HEAD}|<({_HIDDEN})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*+)(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|<(/?)([a-zA-Z][a-zA-Z0-9]*+)[^>]*+>|<[!?][^>]*+>", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -83,7 +87,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m[3] or m[5]
         if name is None:
-            if m[1]:
+            if m[1] or m[0][:5].lower() == "<head":
                 put(" ")
             continue
         name, end = name.lower(), bool(m[2] or m[4])

@@ -179,6 +179,14 @@ def test_chat_query(spark):
     assert chat.formatted(c.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("end", ["</head>", ""])
+@pytest.mark.parametrize("body", ["<body>", "", "<BODY class='x'>"])
+def test_head_without_end_tag(end, body):
+    head = "<head><meta charset=u><title>T <b></title><!-- <p>c</p> --><script>w('<div>s</div>')</script><link rel=x>"
+    assert [b.text for b in html_text.blocks(f"<html>{head}{end}{body}<p>One</p><header>Two</header>")] == ["One", "Two"]
+    assert html_text.blocks(f"<html>{head}") == []
+
+
 # Licenses
 
 
