@@ -5,14 +5,18 @@ rectified filter values are max-pooled over chunks of 2 HOP bytes that overlap
 by half and cover the whole document; the mean and the maximum over its chunks
 of each filter go into a logistic layer that gives one probability of good
 quality.  Training takes a bounded sample of labelled documents
-(tables.SAMPLE_ROWS).  A quarter of it calibrates the threshold: a good document
-lost counts GOOD_WEIGHT times as much as a bad one kept, by shares of either
-class, and the threshold is in the middle of the best range; it is at most 0.5.
+(tables.SAMPLE_ROWS; of long ones windows from start to end, tables.SAMPLE_CHARS).
+A quarter of it calibrates the threshold: a good document lost counts GOOD_WEIGHT
+times as much as a bad one kept, by shares of either class, and the threshold is in
+the middle of the best range.
 
 Defined cases: a null or empty text has probability 0 and is rejected.  If the
-labels lack one of the classes, nothing else is rejected (probability 1).  Rows
-are scored one by one, repeated ones alike; other columns are ignored by the
-scores and kept by the filter.
+labels lack one of the classes, nothing else is rejected (probability 1); if only
+the calibrating quarter does, the threshold is 0.5.  A probability equal to the
+threshold is good.  Rows are scored one by one, repeated ones alike; a text of any
+length is read to its end, BLOCK bytes at a time.  doc_id has to be a number or null
+for the scores; other columns, whatever their names, are ignored by the scores and
+kept by the filter.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,7 +72,20 @@ class Model:
         halves = -(-size // HOP)
         first = np.concatenate([[0], np.cumsum(halves)])
         starts = np.repeat(place - HOP * first[:-1], halves) + HOP * np.arange(first[-1])
-        top = np.maximum(np.maximum.reduceat(z, starts, axis=0) + self.biases, 0)
+        return self.pooled(np.maximum.reduceat(z, starts, axis=0), halves)
+
+    def features_of_one(self, raw: np.ndarray) -> np.ndarray:
+        """features() of one row, of which no more than BLOCK bytes are looked at together."""
+        data, top = np.append(raw, np.zeros(WIDTH - 1, np.uint8)), []
+        for at in range(0, len(raw), BLOCK):
+            z = self.values(data[at : at + BLOCK + WIDTH - 1])
+            top.append(np.maximum.reduceat(z, np.arange(0, len(z), HOP), axis=0))
+        return self.pooled(np.concatenate(top), np.array([-(-len(raw) // HOP)]))
+
+    def pooled(self, top: np.ndarray, halves: np.ndarray) -> np.ndarray:
+        """Features from the maxima of each HOP bytes; halves: how many of these each row has."""
+        top = np.maximum(top + self.biases, 0)
+        first = np.concatenate([[0], np.cumsum(halves)])
         pair = np.maximum(top[:-1], top[1:]) if len(top) > 1 else top[:0]
         chunk = np.concatenate([pair, top[-1:]])  # chunk h is halves h and h + 1
         last = first[1:] - 1
@@ -88,8 +105,10 @@ class Model:
         if not self.fitted:
             p[full] = 1
         elif len(full):
-            at = np.concatenate([[0], np.cumsum(size[full])])
-            x = self.features(raw, at)
+            if len(full) == 1 and len(raw) > BLOCK:
+                x = self.features_of_one(raw)
+            else:
+                x = self.features(raw, np.concatenate([[0], np.cumsum(size[full])]))
             p[full] = 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -700, 700)))
         return np.round(p, 6)
 
@@ -160,7 +179,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     cost = GOOD_WEIGHT * lost + kept
     k = int(np.argmin(cost))
     low = cuts[k - 1] if k else 0.0
-    return float(min(0.5, (low + cuts[k]) / 2))
+    return float((low + cuts[k]) / 2)
 
 
 def fit(sample: list) -> Model:

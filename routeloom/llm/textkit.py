@@ -30,12 +30,17 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("p", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("p", _BASE), ("i", _INV)):
-            a = np.full(size, base, U64)
-            a[0] = 1
-            _tables[name] = np.multiply.accumulate(a)
+    """Powers of the base and of its inverse; those of the usual size are kept, longer ones aren't."""
+
+    def power(base: int, size: int) -> np.ndarray:
+        a = np.full(size, base, U64)
+        a[0] = 1
+        return np.multiply.accumulate(a)
+
+    if n > SLICE_BYTES + 1:
+        return power(_BASE, n), power(_INV, n)
+    if not _tables:
+        _tables.update(p=power(_BASE, SLICE_BYTES + 1), i=power(_INV, SLICE_BYTES + 1))
     return _tables["p"], _tables["i"]
 
 
@@ -65,6 +70,9 @@ class Tokens:
     def row(self, r: int) -> np.ndarray:
         return self.hashes[self.rows[r] : self.rows[r + 1]]
 
+    def each(self) -> list[np.ndarray]:
+        return np.split(self.hashes, self.rows[1:-1]) if len(self.rows) > 1 else []
+
 
 def lowered(col: pa.Array) -> pa.Array:
     """Lower case, null as empty, non-ASCII separators as blanks."""
@@ -80,25 +88,44 @@ def normalised(col: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.replace_substring_regex(lowered(col), r"[^\p{L}\p{N}\p{M}]+", " "), " ")
 
 
-def tokens(col: pa.Array) -> Tokens:
+def _blocks(word: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Cuts of a buffer behind separators, at most ``limit`` bytes apart but for longer tokens."""
+    at, n = 0, len(word)
+    while at < n:
+        to = min(n, at + limit)
+        if to < n:
+            gap = np.flatnonzero(~word[at:to])
+            if len(gap):
+                to = at + int(gap[-1]) + 1
+            else:
+                gap = np.flatnonzero(~word[to:])
+                to = to + int(gap[0]) + 1 if len(gap) else n
+        yield at, to
+        at = to
+
+
+def tokens(col: pa.Array, limit: int = SLICE_BYTES) -> Tokens:
+    """Token hashes of a column; temporary arrays are those of ``limit`` bytes, however long a row is."""
     raw, off = buffers(lowered(col))
-    n = len(raw)
-    if not n:
-        return Tokens(np.zeros(0, U64), np.zeros(len(off), np.int64))
     word = _WORD[raw]
-    edge = off[(off > 0) & (off < n)]
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, word[:-1]
-    before[edge] = False
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, word[1:]
-    after[edge - 1] = False
-    start = np.flatnonzero(word & ~before)
-    end = np.flatnonzero(word & ~after) + 1
-    p, i = _powers(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * p[:n], out=total[1:])
-    return Tokens(mix((total[end] - total[start]) * i[start]), np.searchsorted(start, off))
+    hashes, starts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    edges = off[(off > 0) & (off < len(raw))]
+    for a, b in _blocks(word, limit):
+        own = word[a:b]
+        edge = edges[np.searchsorted(edges, a, "right") : np.searchsorted(edges, b)] - a
+        before, after = np.empty(b - a, bool), np.empty(b - a, bool)
+        before[0], before[1:] = False, own[:-1]
+        before[edge] = False
+        after[-1], after[:-1] = False, own[1:]
+        after[edge - 1] = False
+        start = np.flatnonzero(own & ~before)
+        end = np.flatnonzero(own & ~after) + 1
+        p, i = _powers(b - a)
+        total = np.zeros(b - a + 1, U64)
+        np.cumsum((raw[a:b].astype(U64) + U64(1)) * p[: b - a], out=total[1:])
+        hashes.append(mix((total[end] - total[start]) * i[start]))
+        starts.append(start + a)
+    return Tokens(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), off))
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:

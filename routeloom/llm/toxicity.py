@@ -1,33 +1,32 @@
 """Operator 1: toxicity by a convolutional text classifier, trained in numpy.
 
-Words are hashed into 2 ** BITS buckets.  Buckets whose counts of toxic and of
-clean documents in the sample are far from chance have an embedding: those that a
-false-discovery rate of FALSE lets through, and those with a log-likelihood ratio of
-at least SIGNIFICANT.  If there are none, the FALLBACK buckets with the greatest
-ratio have one.  All others share one of zeros, so that the words of single
-documents can't be learnt by heart; near copies within the sample count once.
-Filters of widths 1, 2 and 3 slide over the embeddings of a document, each is
-max-pooled over all of it, and a logistic layer combines the rectified maxima.
-Training takes a bounded sample of labelled documents (SAMPLE_ROWS), of which a
-quarter calibrates the thresholds: for each language the middle of the widest range of scores that
-gives the best F1, or the threshold of all languages together where one has
-fewer than CALIBRATION documents of either class.
+Words are hashed into 2 ** BITS buckets.  Every bucket that the sample has gets an
+embedding, shrunk by how few of its documents have the word (RARE), so that the words
+of single documents are hardly learnt by heart; in training some words are dropped.
+Words that the sample hasn't are zeros.  Filters of widths 1, 2 and 3 slide over the
+embeddings of a document, each is max-pooled over all of it, and a logistic layer
+combines the rectified maxima.  Training takes a bounded sample of labelled documents
+(SAMPLE_ROWS; of long ones windows from start to end, tables.SAMPLE_CHARS), near copies
+within it once.  Thresholds are calibrated on all of the sample by cross-fitting: for
+each language the middle of the widest range of scores that gives the best F1, averaged
+(by logits) with that of all languages together by the number of its documents.
 
 To score, filters are folded into the embeddings: a filter's value at a word is
 a sum of table rows, so that whole Arrow slices are scored by lookups.
 
 Defined cases: a text without words (null or empty, too) has score 0 and isn't
-toxic; a null or unknown language has the common threshold.  If the labels lack
-one of the classes, all scores are 0 and nothing is toxic; if only the calibrating
-quarter lacks one, the threshold is 0.5.  Rows are scored one by one, repeated ones
-alike; other columns are ignored.
+toxic.  A null language, or one without labelled documents of both classes, has the
+common threshold.  If the labels lack one of the classes (or are empty), all scores are
+0 and nothing is toxic; if a class has a single document, thresholds are 0.5.  Scores
+equal to the threshold are toxic.  Rows are scored one by one, whole texts of any
+length, repeated rows alike; doc_id has to be a number or null; other columns are
+ignored, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +39,13 @@ from .tables import labelled_sample
 BITS, DIM, WIDTHS, FILTERS = 22, 12, (1, 2, 3), 6
 #: Labelled documents in the sample, at most.
 SAMPLE_ROWS = 8000
-#: Least logarithm of how much likelier than chance a word's counts in the two classes are.
-SIGNIFICANT = 12.0
-#: Share of words that are let through by chance, and how many words there are where none is.
-FALSE, FALLBACK = 0.01, 50
-EPOCHS, RATE, SEED = 6, 0.08, 13
-CALIBRATION = 15
+#: Words of a long text that are scored at a time.
+PIECE, GAP = 1 << 18, max(WIDTHS) - 1
+#: A word of d sampled documents has d / (d + RARE) of its embedding, in training too: what few documents say is drawn towards nothing.
+RARE, PRIOR = 10.0, 10.0
+EPOCHS, BATCH, RATE, DROP, START, SEED = 3, 32, 0.1, 0.05, 0.02, 13
+#: Documents of either class that a language's own threshold is weighed against.
+SHRINK = 20
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
@@ -61,7 +61,8 @@ class Model:
     weights: np.ndarray
     bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
-    threshold: float = 2.0
+    threshold: float = 1.0
+    fitted: bool = True
 
     def lookup(self) -> np.ndarray:
         """The embedding's row of each bucket."""
@@ -78,46 +79,36 @@ class Model:
         sizes = np.diff(words.rows)
         out = np.full(n, -np.inf)
         full = np.flatnonzero(sizes > 0)
-        if not len(full):
+        if not len(full) or not self.fitted:
             return out
-        gap = max(WIDTHS) - 1
-        first = words.rows[full] + gap * np.arange(len(full))
-        ids = np.full(len(words.hashes) + gap * len(full), len(self.known), np.int32)
-        real = np.arange(len(words.hashes)) + np.repeat(gap * np.arange(len(full)), sizes[full])
-        ids[real] = lookup[buckets(words.hashes)]
-        pad = np.ones(len(ids), bool)
-        pad[real] = False
-        total = np.full(len(full), self.bias)
-        for k, own in enumerate(tables):
-            z = own[0][ids]
-            for j in range(1, len(own)):
-                z[: len(z) - j] += own[j][ids[j:]]
-            z[pad] = -np.inf
-            top = np.maximum.reduceat(z, first, axis=0).astype(np.float64)
-            at = slice(k * FILTERS, (k + 1) * FILTERS)
-            total += np.maximum(top + self.biases[at], 0) @ self.weights[at]
-        out[full] = total
+        if len(full) == 1:  # in pieces, as it may be very long
+            ids = np.append(lookup[buckets(words.hashes)], [len(self.known)] * GAP)
+            top = np.max([self.maxima(ids[k : k + PIECE + GAP], tables, np.zeros(1, int), GAP) for k in range(0, len(ids) - GAP, PIECE)], axis=0)
+        else:
+            first = words.rows[full] + GAP * np.arange(len(full))
+            ids = np.full(len(words.hashes) + GAP * len(full), len(self.known), np.int32)
+            real = np.arange(len(words.hashes)) + np.repeat(GAP * np.arange(len(full)), sizes[full])
+            ids[real] = lookup[buckets(words.hashes)]
+            pad = np.ones(len(ids), bool)
+            pad[real] = False
+            top = self.maxima(ids, tables, first, pad)
+        out[full] = self.bias + np.maximum(top + self.biases, 0) @ self.weights
         return out
 
-
-def vocabulary(docs: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Buckets that tell the classes apart, sorted."""
-    sides = [np.concatenate([np.zeros(0, np.int64), *(np.unique(d) for d, y in docs if y == side)]) for side in (0, 1)]
-    size = [max(1, sum(y == side for _, y in docs)) for side in (0, 1)]
-    seen, at = np.unique(np.concatenate(sides), return_inverse=True)
-    clean, toxic = (np.bincount(x, minlength=len(seen)) for x in np.split(at, [len(sides[0])]))
-    share, base = toxic / np.maximum(1, clean + toxic), size[1] / (size[0] + size[1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.nan_to_num(toxic * np.log(share / base)) + np.nan_to_num(clean * np.log((1 - share) / (1 - base)))
-    # twice the gain is chi-squared by chance; Benjamini and Hochberg's bar
-    order = np.argsort(-gain, kind="stable")
-    chance = np.array([erfc(sqrt(max(0.0, g))) for g in gain[order]])
-    passed = np.flatnonzero(chance <= FALSE * np.arange(1, len(seen) + 1) / max(1, len(seen)))
-    own = gain >= SIGNIFICANT
-    own[order[: passed[-1] + 1 if len(passed) else 0]] = True
-    if not own.any():
-        own[order[:FALLBACK]] = gain[order[:FALLBACK]] > 1e-9
-    return seen[own]
+    @staticmethod
+    def maxima(ids: np.ndarray, tables: list[list[np.ndarray]], first: np.ndarray, pad: np.ndarray | int) -> np.ndarray:
+        """Greatest value of each filter from each first position to the next; none begins at a pad (a mask, or how many at the end)."""
+        out = []
+        for own in tables:
+            z = own[0][ids]
+            for j in range(1, len(own)):
+                z[:-j] += own[j][ids[j:]]
+            if isinstance(pad, int):
+                z = z[:-pad]
+            else:
+                z[pad] = -np.inf
+            out.append(np.maximum.reduceat(z, first, axis=0))
+        return np.hstack(out).astype(np.float64)
 
 
 def without_near_copies(hashes: list[np.ndarray]) -> np.ndarray:
@@ -134,62 +125,91 @@ def without_near_copies(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def vocabulary(docs: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, sorted, and in how many documents of each class (clean, toxic) each is."""
+    of = [np.concatenate([np.zeros(0, np.int64), *(np.unique(d) for d, y in docs if y == side)]) for side in (0, 1)]
+    known, at = np.unique(np.concatenate(of), return_inverse=True)
+    return known, np.stack([np.bincount(x, minlength=len(known)) for x in np.split(at, [len(of[0])])])
+
+
+def evidence(clean: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Logarithm of how much likelier than by chance a document with a word is toxic, as if the word had been in PRIOR more documents of both classes by chance."""
+    return np.log((toxic + PRIOR * share) / (clean + PRIOR * (1 - share))) - np.log(share / (1 - share))
+
+
 def train(docs: list[tuple[np.ndarray, int]], seed: int = SEED, epochs: int = EPOCHS) -> Model:
-    """docs: word buckets and class of each document.  Adagrad, one document at a time."""
+    """docs: word buckets and class of each document.  Adagrad over batches; the classes weigh the same."""
     rng = np.random.default_rng(seed)
-    known = vocabulary(docs)
-    n = len(WIDTHS) * FILTERS
-    m = Model(known, rng.normal(0, 0.1, (len(known) + 1, DIM)), [rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS], np.zeros(n), rng.normal(0, 0.3, n), 0.0)
-    m.embeddings[-1] = 0
-    row = m.lookup()
-    docs = [(row[d], y) for d, y in docs if len(d)]
+    docs = [d for d in docs if len(d[0])]
+    known, held = vocabulary(docs)
+    n, gap = len(WIDTHS) * FILTERS, GAP
     share = np.mean([y for _, y in docs]) if docs else 0
-    if not 0 < share < 1:
+    m = Model(known, np.zeros((len(known) + 1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(n), np.zeros(n), 0.0, fitted=bool(0 < share < 1))
+    if not m.fitted:
         return m
-    ge, gf, gb, gw, gc = np.full(len(m.embeddings), 1e-3), [np.full(w.shape, 1e-3) for w in m.filters], np.full(n, 1e-3), np.full(n, 1e-3), 1e-3
-    gap = max(WIDTHS) - 1
-    cols = np.arange(FILTERS)
+    factor = np.append(held.sum(axis=0) / (held.sum(axis=0) + RARE), 0).astype(np.float32)[:, None] * (np.arange(DIM) > 0)
+    e = rng.normal(0, START, m.embeddings.shape).astype(np.float32)
+    # offsets j of all filters in one matrix each; a filter has nothing beyond its width
+    wide = np.repeat(WIDTHS, FILTERS)[None, :] > np.arange(gap + 1)[:, None]
+    c = rng.normal(0, 0.3, (gap + 1, DIM, n))
+    c[:, 0] = np.abs(c[:, 0])
+    c = (c * wide[:, None, :]).astype(np.float32)
+    bias, weights, last = np.zeros(n), np.abs(rng.normal(0, 0.3, n)), 0.0
+    ge, gc, gb, gw, gl = np.full(len(e), 1e-3, np.float32), np.full(c.shape, 1e-3, np.float32), np.full(n, 1e-3), np.full(n, 1e-3), 1e-3
+    row = m.lookup()
+    ids_of, y_of = [row[d] for d, _ in docs], np.array([y for _, y in docs], float)
+    # what the other documents say of each word: a document's own label must not speak for its words
+    said_of = [np.append(evidence(held[0, x] - (y == 0), held[1, x] - (y == 1), share), [0] * gap).astype(np.float32) for x, y in zip(ids_of, y_of)]
+    pad = np.full(gap, len(known), np.int32)
     for epoch in range(epochs):
         rate = RATE / (1 + epoch)
-        for k in rng.permutation(len(docs)):
-            ids, y = docs[k]
-            ids = np.append(ids, [len(known)] * gap)
-            size = len(ids) - gap
-            x = m.embeddings[ids]
-            where, top = [], np.empty(n)
-            for a, w in enumerate(m.filters):
-                z = x[:size] @ w[0]
-                for j in range(1, len(w)):
-                    z += x[j : j + size] @ w[j]
-                best = z.argmax(axis=0)
-                where.append(best)
-                top[a * FILTERS : (a + 1) * FILTERS] = z[best, cols]
-            act = np.maximum(top + m.biases, 0)
-            p = 1 / (1 + np.exp(-np.clip(act @ m.weights + m.bias, -30, 30)))
-            d = (p - y) / (2 * share if y else 2 * (1 - share))
-            back = d * m.weights * (act > 0)
-            grad = d * act + 1e-4 * m.weights
+        order = rng.permutation(len(docs))
+        for at in range(0, len(order), BATCH):
+            own = order[at : at + BATCH]
+            ids = np.concatenate([x for k in own for x in (ids_of[k], pad)])
+            ends = np.cumsum([len(ids_of[k]) + gap for k in own])
+            dropped = rng.random(len(ids)) < DROP
+            ids = np.where(dropped, len(known), ids)
+            x = factor[ids] * e[ids]
+            x[:, 0] = np.where(dropped, 0, np.concatenate([said_of[k] for k in own]))
+            z = x @ c[0]
+            for j in range(1, gap + 1):
+                z[:-j] += x[j:] @ c[j]
+            best = np.stack([a + z[a : b - gap].argmax(axis=0) for a, b in zip([0, *ends], ends)])
+            top = np.take_along_axis(z, best, axis=0)
+            act = np.maximum(top + bias, 0)
+            y = y_of[own]
+            p = 1 / (1 + np.exp(-np.clip(act @ weights + last, -30, 30)))
+            d = (p - y) / np.where(y > 0, 2 * share, 2 * (1 - share))
+            back = d[:, None] * weights * (act > 0)
+            grad = d @ act + 1e-4 * len(own) * weights
             gw += grad * grad
-            m.weights -= rate * grad / np.sqrt(gw)
-            gc += d * d
-            m.bias -= rate * d / np.sqrt(gc)
-            gb += back * back
-            m.biases -= rate * back / np.sqrt(gb)
-            for a, w in enumerate(m.filters):
-                own = back[a * FILTERS : (a + 1) * FILTERS]
-                if not own.any():
-                    continue
-                for j in range(len(w)):
-                    hit = ids[where[a] + j]
-                    vec = x[where[a] + j]  # (FILTERS, DIM)
-                    to_word = own[:, None] * w[j].T
-                    to_filter = vec.T * own
-                    ge_add = (to_word * to_word).mean(axis=1)
-                    np.add.at(ge, hit, ge_add)
-                    np.add.at(m.embeddings, hit, -rate * to_word / np.sqrt(ge[hit])[:, None])
-                    gf[a][j] += to_filter * to_filter
-                    w[j] -= rate * to_filter / np.sqrt(gf[a][j])
-            m.embeddings[-1] = 0
+            weights -= rate * grad / np.sqrt(gw)
+            grad = d.sum()
+            gl += grad * grad
+            last -= rate * grad / np.sqrt(gl)
+            grad = back.sum(axis=0)
+            gb += grad * grad
+            bias -= rate * grad / np.sqrt(gb)
+            back = back.astype(np.float32)
+            old = c.copy()
+            for j in range(gap + 1):
+                hit = ids[best + j]
+                grad = np.einsum("bf,bfd->df", back, x[best + j]) * wide[j]
+                gc[j] += grad * grad
+                c[j] -= rate * grad / np.sqrt(gc[j])
+                some = np.flatnonzero(((back != 0) & wide[j]).ravel())
+                if len(some):
+                    hit, move = hit.ravel()[some], (back[:, :, None] * old[j].T[None]).reshape(-1, DIM)[some] * factor[hit.ravel()[some]]
+                    words, at_word = np.unique(hit, return_inverse=True)
+                    total = np.zeros((len(words), DIM), np.float32)
+                    np.add.at(total, at_word, move)
+                    ge[words] += (total * total).mean(axis=1)
+                    e[words] -= rate * total / np.sqrt(ge[words])[:, None]
+    m.embeddings = factor * e
+    m.embeddings[:-1, 0] = evidence(*held, share)
+    m.filters = [np.stack([c[j][:, k * FILTERS : (k + 1) * FILTERS] for j in range(w)]) for k, w in enumerate(WIDTHS)]
+    m.biases, m.weights, m.bias = bias, weights, float(last)
     return m
 
 
@@ -210,29 +230,44 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
+def calibrated(m: Model, logits: np.ndarray, y: np.ndarray, lang: np.ndarray) -> None:
+    """Sets the common threshold and each language's: its own best one, drawn towards the common one as by SHRINK documents of a class.
+
+    The average is taken of logits; thresholds are probabilities.
+    """
+    at = lambda own, what: float(np.log(t / (1 - t)) if 0 < (t := best_threshold(sigmoid(own), what)) < 1 else 0.0)
+    common = at(logits, y)
+    m.threshold = float(sigmoid(common))
+    for one in sorted(set(lang.tolist()) - {""}):
+        of = lang == one
+        n = min(y[of].sum(), (1 - y[of]).sum())
+        if n:
+            m.thresholds[one] = float(sigmoid((n * at(logits[of], y[of]) + SHRINK * common) / (n + SHRINK)))
+
+
 def fit(sample: list) -> Model:
-    """sample: rows (doc_id, text, lang, y)."""
+    """sample: rows (doc_id, text, lang, y).
+
+    Thresholds come from cross-fitted scores: each half of the sample (of either class) is scored by a network trained on the other one.
+    """
     sample = sorted(sample, key=lambda r: r.doc_id)
-    hashes = [tk.tokens(pa.array([r.text])).hashes for r in sample]
-    keep = without_near_copies(hashes)
-    sample = [r for r, k in zip(sample, keep) if k]
-    docs = [(buckets(h), r.y) for h, r in zip((h for h, k in zip(hashes, keep) if k), sample)]
-    held = np.arange(len(docs)) % 4 == 3
-    m = train([d for d, h in zip(docs, held) if not h])
-    if not m.biases.any():
+    hashes = [x for k in range(0, len(sample), 200) for x in tk.tokens(pa.array([r.text for r in sample[k : k + 200]], pa.string())).each()]
+    rows = [(r, buckets(h)) for r, h, k in zip(sample, hashes, without_near_copies(hashes)) if k and len(h)]
+    docs, y = [(b, r.y) for r, b in rows], np.array([r.y for r, _ in rows], int)
+    m = train(docs)
+    if not m.fitted:
         return m
-    kept = [r for r, h in zip(sample, held) if h]
     m.threshold = 0.5
-    if not kept:
-        return m
-    scores = sigmoid(m.logits(tk.tokens(pa.array([r.text for r in kept])), m.lookup(), m.tables()))
-    y, lang = np.array([r.y for r in kept]), np.array([r.lang or "" for r in kept])
-    if 0 < y.sum() < len(y):
-        m.threshold = best_threshold(scores, y)
-        for one in sorted(set(lang)):
-            of = lang == one
-            if one and min(y[of].sum(), (1 - y[of]).sum()) >= CALIBRATION:
-                m.thresholds[one] = best_threshold(scores[of], y[of])
+    half = np.zeros(len(y), int)
+    for side in (0, 1):
+        half[y == side] = np.arange((y == side).sum()) % 2
+    if min(y.sum(), (1 - y).sum()) > 1:
+        logits = np.zeros(len(y))
+        for side in (0, 1):
+            other, own = train([d for d, h in zip(docs, half) if h != side]), np.flatnonzero(half == side)
+            words = tk.Tokens(np.concatenate([docs[k][0] for k in own]).astype(tk.U64) << tk.U64(64 - BITS), np.concatenate([[0], np.cumsum([len(docs[k][0]) for k in own])]))
+            logits[own] = np.clip(other.logits(words, other.lookup(), other.tables()), -30, 30)
+        calibrated(m, logits, y, np.array([r.lang or "" for r, _ in rows]))
     return m
 
 

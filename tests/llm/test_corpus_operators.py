@@ -351,17 +351,77 @@ def test_toxicity_on_held_out_documents(spark):
 
 
 def test_toxic_words_of_a_small_sample():
-    doc = lambda k, w: (toxicity.buckets(tk.tokens(pa.array([f"alpha{k % 7} beta{k % 5} {w}"])).hashes), int(bool(w)))
-    word = lambda w: int(toxicity.buckets(tk.tokens(pa.array([w])).hashes)[0])
-    few = [doc(k, "vile" if k % 10 == 0 else "") for k in range(40)]  # 4 toxic: a ratio of 9.2, but nothing else is near
-    assert toxicity.vocabulary(few).tolist() == [word("vile")]
-    least = [doc(k, "vile" if k == 0 else "") for k in range(8)]  # none passes: the best are taken
-    assert word("vile") in toxicity.vocabulary(least) and len(toxicity.vocabulary(least)) <= toxicity.FALLBACK
     sample = [SimpleNamespace(doc_id=k, text=f"first{k} second{k * 7 % 31} third{k}" + " vile" * (k % 10 == 0), lang="en", y=int(k % 10 == 0)) for k in range(80)]
     m = toxicity.fit(sample)
     p = toxicity.sigmoid(m.logits(tk.tokens(pa.array(["some words here", "some vile words"])), m.lookup(), m.tables()))
-    assert m.threshold < 1 and p[0] < m.threshold <= p[1]
-    assert len(toxicity.vocabulary([])) == 0
+    assert len(m.known) == len({w for r in sample for w in r.text.split()})  # every word is embedded
+    assert p[0] < m.threshold <= p[1]
+    alone = toxicity.fit(sample[:10])  # one toxic document: no cross-fitting
+    assert alone.threshold == 0.5 and not alone.thresholds
+    for y in (0, 1):
+        none = toxicity.fit([SimpleNamespace(doc_id=k, text="vile words", lang="en", y=y) for k in range(5)])
+        assert not none.fitted and (none.logits(tk.tokens(pa.array(["vile", ""])), none.lookup(), none.tables()) == -np.inf).all()
+
+
+def test_thresholds_of_languages():
+    """Against a brute-force search, and drawn towards the common one."""
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        s, y = rng.random(30).round(2), rng.integers(0, 2, 30)
+        if not 0 < y.sum() < 30:
+            continue
+        f1 = lambda t: 2 * y[s >= t].sum() / ((s >= t).sum() + y.sum())
+        t = toxicity.best_threshold(s, y)
+        assert f1(t) == max(f1(x) for x in s)
+    m = SimpleNamespace(thresholds={}, threshold=0.0)
+    z, lang, y = np.array([-9.0, -8, 8, 9] * 50 + [-9, -8, -2, -1]), np.array(["en"] * 200 + ["de"] * 4), np.array([0, 0, 1, 1] * 50 + [0, 0, 1, 1])
+    toxicity.calibrated(m, z, y, lang)
+    assert 0.0001 < m.thresholds["de"] < m.thresholds["en"] and abs(m.threshold - m.thresholds["en"]) < 0.5
+    toxicity.calibrated(m, z, y, np.where(y > 0, "xx", lang))  # a language without clean documents
+    assert "xx" not in m.thresholds
+
+
+def test_every_language_is_calibrated_on_held_out_documents():
+    rng = random.Random(3)
+    own = {"en": ["vile", "awful"], "de": ["übel", "mies"], "fr": ["vilain", "nul"]}
+    def made(n, first):
+        out = []
+        for k in range(n):
+            lang = ("en", "en", "en", "de", "fr")[k % 5]
+            y = int(rng.random() < 0.2)
+            w = [f"{lang}{rng.randrange(2000)}" for _ in range(rng.randint(5, 80))] + rng.choices(own[lang], k=2 * y)
+            rng.shuffle(w)
+            out.append(SimpleNamespace(doc_id=first + k, text=" ".join(w), lang=lang, y=y))
+        return out
+    train, held = made(800, 0), made(500, 1000)
+    m = toxicity.fit(train)
+    p = toxicity.sigmoid(m.logits(tk.tokens(pa.array([r.text for r in held])), m.lookup(), m.tables()))
+    for lang in own:
+        of = [(x >= m.thresholds[lang], r.y) for x, r in zip(p, held) if r.lang == lang]
+        assert sum(h for h, y in of if y) >= 0.9 * sum(y for _, y in of)
+        assert sum(h for h, y in of if not y) <= 0.05 * sum(1 - y for _, y in of)
+
+
+def test_training_lowers_the_loss():
+    """The loss falls, and leaving a document out of its own words' evidence is what is trained on."""
+    docs = [(np.array([k, 100 + k % 3, 7 if k % 2 else 8]), k % 2) for k in range(60)]
+    before, after = (toxicity.train(docs, epochs=n) for n in (1, 6))
+    loss = lambda m: -np.mean([np.log(np.clip(q if y else 1 - q, 1e-9, 1)) for (d, y), q in ((x, toxicity.sigmoid(m.logits(tk.Tokens(x[0].astype(np.uint64) << np.uint64(64 - toxicity.BITS), np.array([0, len(x[0])])), m.lookup(), m.tables()))[0]) for x in docs)])
+    assert loss(after) < loss(before) < 1
+    single = toxicity.evidence(np.array([0.0]), np.array([1.0]) - 1, 0.5)
+    assert single[0] == 0
+
+
+def test_long_texts_are_scored_to_their_end():
+    sample = [SimpleNamespace(doc_id=k, text=f"first{k} second{k * 7 % 31}" + " vile" * (k % 4 == 0), lang="en", y=int(k % 4 == 0)) for k in range(80)]
+    m = toxicity.fit(sample)
+    long = "w " * (toxicity.PIECE + 5)
+    z = m.logits(tk.tokens(pa.array([long + "vile"])), m.lookup(), m.tables())
+    short = m.logits(tk.tokens(pa.array(["w w w vile", "x"])), m.lookup(), m.tables())
+    assert z[0] == short[0]
+    for limit in (5, 64, 1 << 20):
+        words = tk.tokens(pa.array(["ab cd", "", "x" * 100 + " y", "éa-b" * 9]), limit)
+        assert (words.hashes == tk.tokens(pa.array(["ab cd", "", "x" * 100 + " y", "éa-b" * 9])).hashes).all() and words.rows.tolist() == [0, 2, 2, 4, 14]
 
 
 def test_toxicity_scores_equal_a_plain_forward_pass():
@@ -414,6 +474,8 @@ def test_quality_features_equal_plain_chunks():
     texts = ["x", "short text", "a" * 256, "b" * 257, "ü" * 300, "".join(chr(97 + k % 26) for k in range(1500)), "end"]
     raw, off = tk.buffers(pa.array(texts))
     got = m.features(raw, off)
+    long = np.frombuffer(b"".join(bytes([97 + k * k % 26]) for k in range(3 * quality.BLOCK + 100)), np.uint8)
+    assert np.allclose(m.features_of_one(long), m.features(long, np.array([0, len(long)])), atol=1e-4)
     for r, t in enumerate(texts):
         data = np.frombuffer(t.encode() + b"\0" * (quality.WIDTH - 1), np.uint8)
         z = np.maximum(m.values(data) + m.biases, 0)
@@ -421,6 +483,28 @@ def test_quality_features_equal_plain_chunks():
         assert np.allclose(got[r], np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]), atol=1e-4)
 
 
+def test_quality_threshold_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        p, y = rng.random(25).round(2), rng.integers(0, 2, 25)
+        if 0 < y.sum() < 25:
+            cost = lambda t: quality.GOOD_WEIGHT * (p[y == 1] < t).mean() + (p[y == 0] >= t).mean()
+            assert cost(quality.best_threshold(p, y)) <= min(cost(t) for t in [*p, 1.0]) + 1e-9
+    assert quality.best_threshold(np.array([0.9, 0.8]), np.array([1, 1])) == 0.5
+    assert quality.best_threshold(np.array([0.9, 0.8, 0.6]), np.array([1, 1, 0])) > 0.6
+
+
+def test_long_texts_of_a_sample_give_windows_from_start_to_end(spark):
+    from routeloom.llm.tables import windows
+    from pyspark.sql import functions as F
+
+    text = "".join(f"{k:05d}" for k in range(20000))
+    got = spark.createDataFrame([(text,), ("short",), ("",)], "t string").select(windows(F.col("t"), 800).alias("w")).collect()
+    parts = got[0].w.split(" ")
+    assert [r.w for r in got[1:]] == ["short", ""] and len(parts) == 8 and {len(x) for x in parts} == {100} and all(x in text for x in parts)
+    assert text.startswith(parts[0]) and text.endswith(parts[-1])
+
+
 def test_sample_is_bounded_and_balanced(spark):
     docs = frame(spark, [(k, f"t{k}") for k in range(100)] + [(5, "t5"), (None, "x")])
     labels = spark.createDataFrame([(k, int(k < 20)) for k in range(100)] + [(5, 0), (None, 1), (7, None)], "doc_id long, quality int")
