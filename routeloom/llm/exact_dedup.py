@@ -6,18 +6,19 @@ buckets, exactly one slot for a digest) is built by one task and stored in the
 shared folder, its slots holding the full digest and the winner's doc_id.  The
 distinct digests of newer documents are looked up there; only where all 32 bytes
 of the slot agree is the text a repeat.  Nonmembers are grouped among
-themselves.  Only digests and ids are shuffled, never texts, and a shard's size
-is fixed, so that more input means more shards.
+themselves.  Only digests and ids are shuffled for that, never texts, and a shard's size
+is fixed, so that more input, historical or new, means more shards.
 
 The winner of a text is the historical document of the least doc_id, else the
 newer one of the least doc_id.
 
 Defined cases: a null text is no copy of anything; the empty text is a text as
-any other.  Rows with a null doc_id are left out of the decisions and stay in
+any other, and texts of any length are digested to their end.  Other ids than null
+have to be numbers.  Rows with a null doc_id are left out of the decisions and stay in
 the filtered table.  A row that repeats doc_id and text is decided once and
 kept once.  If a doc_id has several texts, each has its own decision, and the
 document goes only if all of them are copies.  Other columns are ignored and
-kept.  Empty tables, historical ones too, are allowed.
+kept, whatever their names.  Empty tables, historical ones too, are allowed.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -139,48 +140,56 @@ def lookup(distinct: DataFrame, tables: DataFrame, shards: int) -> DataFrame:
     return left.cogroup(tables.groupBy("shard")).applyInArrow(look, "digest binary, least long, winner_id long")
 
 
-def decisions(docs: DataFrame, history: DataFrame) -> DataFrame:
-    """(doc_id, winner_id, copies) for each distinct (doc_id, text) of both tables; copies counts its rows."""
+def digested(docs: DataFrame, old: Column) -> DataFrame:
+    """(doc_id, digest, old) of the documents that have an id and a text."""
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest"), old.alias("old"))
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """(doc_id, winner_id, copies) for each distinct (doc_id, digest) of (doc_id, digest, old), stored; copies counts its rows.
+
+    The number of shards follows whichever is more, history or new rows, so that neither side of a shard grows with the input.
+    """
+    with scratch(rows.sparkSession):
+        rows = stored(rows, "digests")
+        old = stored(rows.where("old").groupBy("digest").agg(F.min("doc_id").alias("winner_id")), "history")
+        shards = max(1, math.ceil(max(old.count(), rows.where("not old").count()) / SHARD))
+        tables = stored(build_tables(old, shards), "perfect-hash")
+        new = lookup(rows.where("not old").groupBy("digest").agg(F.min("doc_id").alias("least")), tables, shards)
+        winners = new.select("digest", F.coalesce("winner_id", "least").alias("winner_id"))
+        both = rows.where("not old").groupBy("digest", "doc_id").agg(F.count("*").alias("copies")).join(winners, "digest")
+        known = rows.where("old").groupBy("digest", "doc_id").agg(F.count("*").alias("copies")).join(old, "digest")
+        return stored(known.unionByName(both).select("doc_id", "winner_id", "copies"), "decisions", keep=True)
 
-    def digested(d: DataFrame) -> DataFrame:
-        return d.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest"))
 
-    rows = stored(digested(history).withColumn("old", F.lit(True)).unionByName(digested(docs).withColumn("old", F.lit(False))), "digests")
-    old = stored(rows.where("old").groupBy("digest").agg(F.min("doc_id").alias("winner_id")), "history")
-    shards = max(1, math.ceil(old.count() / SHARD))
-    tables = stored(build_tables(old, shards), "perfect-hash")
-    new = lookup(rows.where("not old").groupBy("digest").agg(F.min("doc_id").alias("least")), tables, shards)
-    winners = new.select("digest", F.coalesce("winner_id", "least").alias("winner_id"))
-    both = rows.where("not old").groupBy("digest", "doc_id").agg(F.count("*").alias("copies")).join(winners, "digest")
-    known = rows.where("old").groupBy("digest", "doc_id").agg(F.count("*").alias("copies")).join(old, "digest")
-    return known.unionByName(both).select("doc_id", "winner_id", "copies")
+def decisions(docs: DataFrame, history: DataFrame) -> DataFrame:
+    """decided() of the documents of both tables."""
+    return decided(digested(history, F.lit(True)).unionByName(digested(docs, F.lit(False))))
 
 
-def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(newer, historical) documents: ids from the middle of the range of ids on, and below it."""
+def by_halves(docs: DataFrame) -> DataFrame:
+    """decided() of one table; documents below the middle of the range of ids are the history."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return docs, docs.where("false")
-    middle = (int(low) + int(high) + 1) // 2
-    return docs.where(F.col("doc_id") >= middle), docs.where(F.col("doc_id") < middle)
+    middle = 0 if low is None else (int(low) + int(high) + 1) // 2
+    return decided(digested(docs, F.col("doc_id") < middle))
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, winner_id, is_copy) for each document with a text; the lower half of the range of ids is the history."""
-    found = decisions(*halves(docs))
-    return found.select("doc_id", "winner_id", (F.col("doc_id") != F.col("winner_id")).alias("is_copy"))
+    return by_halves(docs).select("doc_id", "winner_id", (F.col("doc_id") != F.col("winner_id")).alias("is_copy"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents that are no copies, each once."""
     with scratch(docs.sparkSession):
-        found = stored(decisions(*halves(docs)), "decisions")
-        state = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("winner_id")).alias("gone"), F.max("copies").alias("most"))
-        gone = stored(state.where("gone").select(F.col("doc_id").alias("_gone")), "gone", keep=True)
-        many = stored(state.where("not gone and most > 1").select(F.col("doc_id").alias("_many")), "many", keep=True)
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    once = kept.join(many, kept["doc_id"] == many["_many"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(many, kept["doc_id"] == many["_many"], "left_anti").unionByName(once)
+        state = by_halves(docs).groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("winner_id")).alias("gone"), F.max("copies").alias("most"))
+        gone = stored(state.where("gone or most > 1").select(F.col("doc_id").alias("_id"), "gone"), "gone", keep=True)
+    out = docs.join(gone.where("gone"), docs["doc_id"] == gone["_id"], "left_anti")
+    again = gone.where("not gone").select("_id")
+    if not again.take(1):
+        return out
+    once = out.join(again, out["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, out["doc_id"] == again["_id"], "left_anti").unionByName(once)
 
 
 ORACLE = """

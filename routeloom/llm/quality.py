@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 from .tables import SAMPLE_ROWS, labelled_sample
@@ -194,8 +195,8 @@ def fit(sample: list) -> Model:
     return m
 
 
-def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """(doc_id, quality, good) for every document; with ``keep`` the good documents' own columns."""
+def scored(docs: DataFrame, model: Model, keep: bool = False, column: str = "") -> DataFrame:
+    """(doc_id, quality, good) for every document; with ``keep`` the good documents' own columns, with ``column`` all documents with their probability in it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -211,8 +212,14 @@ def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
         for s, p in pieces(batches):
             yield s.filter(pa.array((p > 0) & (p >= shared.value.threshold)))
 
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, p in pieces(batches):
+            yield pa.RecordBatch.from_arrays([*s.columns, pa.array(p)], [*s.schema.names, column])
+
     if keep:
         return docs.mapInArrow(select, docs.schema)
+    if column:
+        return docs.mapInArrow(rate, T.StructType([*docs.schema, T.StructField(column, T.DoubleType())]))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, quality double, good boolean")
 
 
@@ -223,3 +230,8 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Data
 def good_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
     return scored(docs, fit(labelled_sample(docs, labels, "quality", rows).collect()), keep=True)
+
+
+def rated(docs: DataFrame, column: str, documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """docs with one more column, their probability of good quality by a model of labelled ``documents``."""
+    return scored(docs, fit(labelled_sample(documents, labels, "quality", rows).collect()), column=column)

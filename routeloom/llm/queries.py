@@ -35,7 +35,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.selection(table(spark, sf_dir, "documents"))
+    return mixing.selection(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,9 +127,11 @@ def without_near_copies(hashes: list[np.ndarray]) -> np.ndarray:
 
 def vocabulary(docs: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words, sorted, and in how many documents of each class (clean, toxic) each is."""
-    of = [np.concatenate([np.zeros(0, np.int64), *(np.unique(d) for d, y in docs if y == side)]) for side in (0, 1)]
-    known, at = np.unique(np.concatenate(of), return_inverse=True)
-    return known, np.stack([np.bincount(x, minlength=len(known)) for x in np.split(at, [len(of[0])])])
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for d, y in docs:
+        counts[y, np.unique(d)] += 1
+    known = np.flatnonzero(counts.any(axis=0))
+    return known, counts[:, known]
 
 
 def evidence(clean: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
@@ -246,14 +248,15 @@ def calibrated(m: Model, logits: np.ndarray, y: np.ndarray, lang: np.ndarray) ->
 
 
 def fit(sample: list) -> Model:
-    """sample: rows (doc_id, text, lang, y).
+    """sample: rows (doc_id, text, lang, y), at best not held by the caller.
 
     Thresholds come from cross-fitted scores: each half of the sample (of either class) is scored by a network trained on the other one.
     """
     sample = sorted(sample, key=lambda r: r.doc_id)
     hashes = [x for k in range(0, len(sample), 200) for x in tk.tokens(pa.array([r.text for r in sample[k : k + 200]], pa.string())).each()]
-    rows = [(r, buckets(h)) for r, h, k in zip(sample, hashes, without_near_copies(hashes)) if k and len(h)]
-    docs, y = [(b, r.y) for r, b in rows], np.array([r.y for r, _ in rows], int)
+    rows = [(buckets(h).astype(np.int32), r.y, r.lang or "") for r, h, k in zip(sample, hashes, without_near_copies(hashes)) if k and len(h)]
+    docs, y, lang = [(b, y) for b, y, _ in rows], np.array([y for _, y, _ in rows], int), np.array([x for _, _, x in rows])
+    del sample, hashes, rows
     m = train(docs)
     if not m.fitted:
         return m
@@ -264,10 +267,12 @@ def fit(sample: list) -> Model:
     if min(y.sum(), (1 - y).sum()) > 1:
         logits = np.zeros(len(y))
         for side in (0, 1):
-            other, own = train([d for d, h in zip(docs, half) if h != side]), np.flatnonzero(half == side)
-            words = tk.Tokens(np.concatenate([docs[k][0] for k in own]).astype(tk.U64) << tk.U64(64 - BITS), np.concatenate([[0], np.cumsum([len(docs[k][0]) for k in own])]))
-            logits[own] = np.clip(other.logits(words, other.lookup(), other.tables()), -30, 30)
-        calibrated(m, logits, y, np.array([r.lang or "" for r, _ in rows]))
+            other = train([d for d, h in zip(docs, half) if h != side])
+            lookup, tables = other.lookup(), other.tables()
+            for k in np.flatnonzero(half == side):
+                words = tk.Tokens(docs[k][0].astype(tk.U64) << tk.U64(64 - BITS), np.array([0, len(docs[k][0])]))
+                logits[k] = np.clip(other.logits(words, lookup, tables)[0], -30, 30)
+        calibrated(m, logits, y, lang)
     return m
 
 

@@ -153,8 +153,13 @@ def test_perfect_hash_is_minimal_and_perfect():
         assert sorted(f.slots(d).tolist()) == list(range(n))
 
 
-@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
-def test_exact_copies_against_brute_force(spark, corpus, share):
+@pytest.mark.parametrize("share,size", [(0.0, 50_000), (0.5, 50_000), (1.0, 50_000), (0.0, 7), (0.5, 7), (1.0, 7)])
+def test_exact_copies_against_brute_force(spark, corpus, monkeypatch, share, size):
+    """Also with many shards, of an empty history too."""
+    monkeypatch.setattr(exact_dedup, "SHARD", size)
+    seen = []
+    own = exact_dedup.build_tables
+    monkeypatch.setattr(exact_dedup, "build_tables", lambda d, shards: (seen.append(shards), own(d, shards))[1])
     docs = [d for d in corpus]
     ids = sorted(d for d, _ in docs if d is not None)
     cut = ids[min(len(ids) - 1, int(share * len(ids)))] if share < 1 else 10**9
@@ -164,6 +169,7 @@ def test_exact_copies_against_brute_force(spark, corpus, share):
         winner.setdefault(t, d)
     got = Counter((r.doc_id, r.winner_id) for r in exact_dedup.decisions(frame(spark, new) if new else frame(spark, docs).limit(0), frame(spark, old) if old else frame(spark, docs).limit(0)).collect())
     assert got == Counter({(d, winner[t]) for d, t in docs if d is not None and t is not None})
+    assert (seen[0] > 10) == (size == 7)
 
 
 def test_a_historical_winner_beats_a_smaller_new_id(spark):
@@ -255,24 +261,64 @@ def test_decontaminated_documents(spark, benchmark):
 
 
 def test_many_automata_find_the_same(spark, benchmark, monkeypatch):
-    df = frame(spark, [(1, f"Before. {ITEM} After."), (2, "six tokens make a short item")])
-    one = decontaminate.contamination(df, benchmark).collect()
-    monkeypatch.setattr(decontaminate, "ITEM_TOKENS", 5)
-    assert decontaminate.contamination(df, benchmark).collect() == one
+    """15 automata in several files give what one gives, null ids spread over them, and each is read once for a group of slices."""
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(300)]
+    items = [" ".join(rng.choices(vocab, k=rng.randint(5, 60))) for _ in range(120)]
+    bench = spark.createDataFrame([(None if k % 2 else k, t) for k, t in enumerate(items * 2)], "item_id long, text string")
+    docs = []
+    for k in range(150):
+        w = rng.choices(vocab, k=rng.randint(1, 80))
+        if k % 3 == 0:
+            own = rng.choice(items).split()
+            a = rng.randrange(len(own))
+            w[5:5] = own[a : a + rng.randint(1, 40)]
+        docs.append((k, " ".join(w)))
+    df = frame(spark, docs)
+    one = sorted(decontaminate.contamination(df, bench).collect())
+    assert [(r.doc_id, r.n_spans, r.removed_tokens) for r in one] == [(k, len(x), sum(b - a for a, b in x)) for k, t in docs for x in [brute_spans(t.split(), [i.split() for i in items])]]
+    assert any(r.contaminated for r in one) and not all(r.contaminated for r in one)
+    monkeypatch.setattr(decontaminate, "ITEM_TOKENS", 270)
+    machines = decontaminate.stored(decontaminate.automata(bench).repartition(4), "machines").repartition(4)
+    assert machines.count() >= 13
+    monkeypatch.setattr(decontaminate, "automata", lambda *a: machines)
+    assert sorted(decontaminate.contamination(df, bench).collect()) == one
+    files = sorted(decontaminate.stored(machines, "automata").inputFiles())
+    assert len(files) >= 3
+    for kept, again in ((0, 4), (1 << 30, 0)):
+        monkeypatch.setattr(decontaminate, "KEPT", kept)
+        read = Counter()
+        matchers = decontaminate.Matchers(files, lambda f: (read.update([f]), decontaminate.read_stored(f))[1])
+        batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in docs])], ["text"])
+        monkeypatch.setattr(decontaminate, "GROUP", 1 << 30)
+        (group,) = decontaminate.grouped(iter([batch.slice(0, 50), batch.slice(50)]))
+        for _ in range(2):
+            found = decontaminate.found_in(group, matchers)
+        assert [len(x) for f in found for _, x in sorted(f.items())] == [r.n_spans for r in one if r.contaminated]
+        assert sum(read.values()) == len(files) + min(again, len(files))
+
+
+def test_benchmarks_of_no_or_short_items(spark):
+    df = frame(spark, [(1, "a b c d e f g"), (2, None)])
+    for items in ([(1, "a b"), (None, None)], [(1, "")]):
+        got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert [(r.doc_id, r.contaminated, r.text) for r in got] == [(1, False, "a b c d e f g"), (2, False, None)]
 
 
 # Mixing
 
 
-def brute_mix(docs, targets, total):
+def brute_mix(docs, targets, total, weigh=lambda d: 1.0):
+    """weigh: a document's weight, as it comes."""
     import hashlib
 
     by = defaultdict(list)
-    for d, text, source in docs:
-        text = text or ""
-        weight = max(mixing.LEAST_WEIGHT, 1 - len(re.findall(mixing.DEBRIS, text)) * 4.0 / len(text)) if text else mixing.LEAST_WEIGHT
+    for doc in docs:
+        d, text, source = doc[:3]
+        weight = weigh(doc)
+        weight = mixing.LEAST_WEIGHT if weight is None or weight != weight else max(mixing.LEAST_WEIGHT, weight)
         u = (int(hashlib.md5(f"{mixing.SEED}/{d or 0}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
-        by[source or ""].append((-math.log(u) / weight, d or 0, len(text.split()), d))
+        by[source or ""].append((-math.log(u) / weight, d or 0, len((text or "").split()), d))
     shares = {s: 1.0 if targets is None else targets.get(s, 0.0) for s in by}
     total = sum(n for rows in by.values() for _, _, n, _ in rows) if total is None else total
     out = Counter()
@@ -288,15 +334,23 @@ def brute_mix(docs, targets, total):
     return out
 
 
+def weights_of(docs):
+    rng = random.Random(8)
+    return {d[0]: rng.choice([None, float("nan"), -1.0, 0.0, 0.3, 0.9, 1.0, 40.0]) for d in docs}
+
+
 @pytest.mark.parametrize("targets,total", [(None, None), ({"a": 3.0, "b": 1.0}, None), ({"a": 1.0}, 100000), ({"b": 2.0, "": 1.0}, 37), ({"none": 1.0}, None)])
 def test_mixing_against_brute_force(spark, targets, total):
+    from pyspark.sql import functions as F
+
     rng = random.Random(9)
     docs = [(k, " ".join(rng.choices(["word", "x%%%", "$$", "y"], k=rng.randint(0, 40))), rng.choice("aaab")) for k in range(300)]
     docs += [(500, None, "a"), (501, "", None), (None, "no id", "b"), (None, "no id", "b"), docs[7], (502, "w " * 40000, "c"), (503, None, "empty"), (504, "", "empty")]
-    df = frame(spark, docs)
-    want = brute_mix(docs, targets, total)
-    assert Counter(tuple(r) for r in mixing.selection(df, targets, total).collect()) == want
-    mixed = mixing.mixed(df, targets, total)
+    weight = weights_of(docs)
+    df = spark.createDataFrame([(d, t, "en", s, 0, "x", 1, 2, 3, weight[d]) for d, t, s in docs], SCHEMA + ", weight double")
+    want = brute_mix(docs, targets, total, lambda d: weight[d[0]])
+    assert Counter(tuple(r) for r in mixing.selection(df, targets, total, weight=F.col("weight")).collect()) == want
+    mixed = mixing.mixed(df, targets, total, weight=F.col("weight"))
     assert mixed.columns == [*df.columns, "_copies"]
     got = Counter()
     for r in mixed.collect():
@@ -305,12 +359,36 @@ def test_mixing_against_brute_force(spark, targets, total):
 
 
 def test_mixing_an_empty_table(spark):
-    assert mixing.selection(frame(spark, [(1, "a")]).limit(0)).count() == 0
+    from pyspark.sql import functions as F
+
+    empty = frame(spark, [(1, "a")]).limit(0)
+    assert mixing.selection(empty).count() == 0
+    mixed = mixing.mixed(empty, weight=F.col("n_chars"))
+    assert mixed.count() == 0 and mixed.columns == [*empty.columns, "_copies"]
+
+
+def test_mixing_by_labels_equals_its_sql(spark):
+    """Labels of all kinds, copies of labelled documents, sources without labels: the same rows as the SQL gives."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(4)
+    docs = [(k, "w " * rng.randint(0, 30), rng.choice("aabc")) for k in range(200)] + [(None, "x y", "a"), (3, "again", "b"), (201, None, None)]
+    labels = [(k, rng.randint(0, 1)) for k in range(90)] + [(5, 1), (5, 0), (None, 1), (7, None), (999, 1), (8, 3)]
+    got = mixing.selection(frame(spark, docs), labels=spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    con = duckdb.connect()
+    con.register("d", pd.DataFrame({"doc_id": pd.array([d[0] for d in docs], "Int64"), "text": [d[1] for d in docs], "source": [d[2] for d in docs]}))
+    con.register("l", pd.DataFrame({"doc_id": pd.array([x[0] for x in labels], "Int64"), "quality": pd.array([x[1] for x in labels], "Int64")}))
+    con.execute("create view documents as select * from d")
+    con.execute("create view labels as select * from l")
+    assert Counter(tuple(r) for r in got) == Counter(con.sql(mixing.oracle()).fetchall())
 
 
 def test_better_documents_are_taken_more_often(spark):
-    docs = [(k, "good words here now" if k % 2 else "bad%% w%%% h%% n%%", "a") for k in range(4000)]
-    taken = [r.doc_id % 2 for r in mixing.selection(frame(spark, docs), {"a": 1.0}, 4000).collect()]
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, [(k, "good words here now", "a") for k in range(4000)])
+    taken = [r.doc_id % 2 for r in mixing.selection(docs, {"a": 1.0}, 4000, weight=0.1 + 0.9 * (F.col("doc_id") % 2)).collect()]
     assert sum(taken) > 3 * (len(taken) - sum(taken))
 
 
