@@ -3,16 +3,19 @@
 quality drops documents that the classifier rejects; exact keeps one of each
 set of equal texts; near keeps the least doc_id of each group of similar texts;
 benchmark cuts benchmark passages out of the texts; mix selects documents by
-source to equal token budgets and adds the column copies.  Nulls, empty tables
-and clashing columns are treated as the operators' docstrings tell.
+source to equal token budgets, weighed by the classifier's probability, and adds the
+column copies (_copies where documents have one of that name).  Nulls, very long texts,
+ties, repeated rows, empty tables and clashing columns are treated as the operators'
+docstrings tell; a stage's ids are compared as numbers.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from routeloom.llm import decontaminate, exact_dedup, mixing, ngram_join, quality
-from routeloom.llm.tables import delete, scratch, shared, table
+from routeloom.llm.tables import delete, fresh, scratch, shared, stored, table, written
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,9 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    weight = fresh(docs, "weight")
+    rated = stored(quality.rated(docs, weight, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "rated")
+    return mixing.mixed(rated, weight=F.col(weight)).drop(weight)
 
 
 STAGES = [("quality", drop_low_quality), ("exact", drop_exact_copies), ("near", drop_near_copies), ("benchmark", cut_benchmark), ("mix", mix_sources)]
@@ -47,7 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = shared(spark, f"pipeline-{name}")
         with scratch(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
+            written(stage(spark, docs, sf_dir), path)
         if before:
             delete(spark, before)
         docs, before = spark.read.parquet(path), path
