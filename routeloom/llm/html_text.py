@@ -16,11 +16,16 @@ block.  At equal distance a heading takes the label of the one below; otherwise,
 if they differ, near blocks become good and short ones bad, and so they do where
 the page has no decided block.
 
+Pages are read forward only, in time that grows with their length.
+
 Defined cases: a null or empty page, or one without text, gives the empty text
-and no blocks.  Unclosed tags, stray ``<`` and unknown entities are text or
-tags as browsers have it; an unclosed script reaches to the end, and
-a head without end tag to the first element that can't be in one.  Each row is
-read by itself; null ids and urls, repeated rows and other columns do no harm.
+and no blocks.  Stray ``<``, a tag without ``>`` and unknown entities are text; an
+unclosed script or comment reaches to the end, and a head without end tag to the first
+element that can't be in one.  A tag ends at the first ``>`` outside quotes; once a quote
+within a tag is never closed, tags end at their first ``>`` from there on.  Ties of the
+second pass are decided as told.  Each row is read by itself, so repeated rows give
+repeated results; null ids and urls are kept, other ids have to be numbers; other columns,
+whatever their names, are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,8 +54,11 @@ _HIDDEN = "script|style|noscript|template|svg|textarea|object"
 # a head ends at its end tag, or before the first element that can't be in one
 _IN_HEAD = "|".join(rf"<{x}\b[^>]*+>.*?(?:</{x}\s*+>|\Z)" for x in "script style noscript template title object".split())
 _HEAD = rf"<head\b[^>]*+>(?:[^<]++|<!--.*?(?:-->|\Z)|{_IN_HEAD}|(?!</head\s*+>|<(?!(?:base|basefont|bgsound|link|meta|noframes|html|head)\b)[a-zA-Z])<)*+(?:</head\s*+>)?"
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|{_HEAD}|<({_HIDDEN})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*+)(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|<(/?)([a-zA-Z][a-zA-Z0-9]*+)[^>]*+>|<[!?][^>]*+>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
+_HEAD_TAG = re.compile(_HEAD, re.S | re.I)
+_MARK = re.compile(rf"<(?:(!--)|(head)\b|({_HIDDEN})\b|(/?)([a-zA-Z][a-zA-Z0-9]*+)|[!?])", re.I)
+_TO_END = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+_CLOSED = {x: re.compile(rf"</{x}\s*+>", re.I) for x in _HIDDEN.split("|")}
+_HTML, _LANG = re.compile(r"<html\b([^>]*+)", re.I), re.compile(r"\blang\s*+=\s*+[\"']?([a-zA-Z]+)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -81,16 +89,31 @@ def blocks(page: str) -> list[Block]:
             if inside:
                 linked.append(text)
 
-    at = 0
-    for m in _TAG.finditer(page):
+    at, last, quoted = 0, page.rfind(">"), True
+    while m := _MARK.search(page, at):
+        if m[1]:
+            put(page[at : m.start()])
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if m.end() > last:
+            break  # nothing ends behind it: text
         put(page[at : m.start()])
-        at = m.end()
-        name = m[3] or m[5]
-        if name is None:
-            if m[1] or m[0][:5].lower() == "<head":
-                put(" ")
+        if m[2]:
+            at = _HEAD_TAG.match(page, m.start()).end()
+            put(" ")
+            continue
+        if m[3]:
+            end = _CLOSED[m[3].lower()].search(page, page.index(">", m.end()) + 1)
+            at = end.end() if end else len(page)
+            put(" ")
+            continue
+        whole = _TO_END.match(page, m.end()) if quoted and m[5] else None
+        quoted = quoted and (whole is not None or not m[5])
+        at = whole.end() if whole else page.index(">", m.end()) + 1
+        if not m[5]:
             continue
-        name, end = name.lower(), bool(m[2] or m[4])
+        name, end = m[5].lower(), bool(m[4])
         if name == "a":
             inside = 0 if end else 1
         elif name in _BLOCK:
@@ -105,7 +128,8 @@ def blocks(page: str) -> list[Block]:
 
 
 def stop_words(page: str, found: list[Block]) -> frozenset[str]:
-    m = _LANG.search(page)
+    tag = _HTML.search(page)
+    m = tag and _LANG.search(tag[1])
     if m and m[1].lower() in _STOPS:
         return _STOPS[m[1].lower()]
     words = [w for b in found for w in _WORD.findall(b.text.lower())]

@@ -7,17 +7,20 @@ writes the source characters that it stands for:
    become ASCII; invisible characters go;
 2. spelled digits: four or more digit words (English, German, French, Spanish) or
    digits in a row become digits, at least two of them words;
-3. at and dot: bracketed forms, "name at host dot com" and blanks around "@".
+3. at and dot: bracketed forms, "name at host dot com", "first.last at host.com" (a
+   name with a dot, digit or underscore) and blanks around "@".  Without brackets the
+   ending has to be a listed one (_TLD).
 
 Identifiers are found in the normalised text, and each span is mapped back to
-the source.  Kinds: email, ip, card (13 to 19 digits; Luhn's check digit, or
-sixteen digits in one or four groups), ssn, iban (with its check digits), phone,
-secret (value of a named key, or at least 32 hexadecimal digits).  Where kinds
-overlap, the one named first in KINDS stays.
-
-Defined cases: null and empty texts have none.  Each row is read by itself, so
-repeated rows give repeated results; a null doc_id is kept.  Other columns are
-ignored.  Offsets count characters (code points) from 0.
+the source.  Kinds: email, ip, card (13 to 19 digits with Luhn's check digit), ssn,
+iban (with its check digits), phone, secret (value of a named key, or at least 32
+hexadecimal digits).  Where found spans overlap, the kind named first in KINDS stays, then
+the longer and the first one.
+
+Defined cases: null and empty texts, and empty tables, have none.  Each row is read by
+itself and to its end, in time that grows with its length, so repeated rows give repeated
+results; a null doc_id is kept, other ids have to be numbers.  Other columns, whatever
+their names, are ignored.  Offsets count characters (code points) from 0.
 """
 
 from __future__ import annotations
@@ -49,27 +52,31 @@ for _k, _w in enumerate(("zero oh null zéro cero", "one eins ein un une uno", "
     for _x in _w.split():
         _DIGITS[_x] = str(_k)
 _ONE = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r"|\d)"
-_SPELLED = re.compile(rf"(?<!\w){_ONE}(?:[ \t]*[-,.·/ \t][ \t]*{_ONE}){{3,}}(?!\w)", re.I)
+_GAP = r"(?:[ \t]++(?:[-,.·/][ \t]*+)?|[-,.·/][ \t]*+)"
+_SPELLED = re.compile(rf"(?<!\w){_ONE}(?:{_GAP}{_ONE}){{3,}}(?!\w)", re.I)
 _PIECE = re.compile(r"[^\W\d]+|\d|[ \t,·/]+|[-.]")
 
 _OPEN, _SHUT = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*+)"
-_AT, _DOT = rf"{_OPEN}(?:at|@|arroba|chez){_SHUT}", rf"(?:{_OPEN}(?:dot|punto|point|punkt|\.){_SHUT}|\s+dot\s+)"
-_NAME = rf"[\w+%-]+(?:(?:\.|{_DOT})[\w+%-]+)*"
+_DOT = rf"(?:{_OPEN}(?:dot|punto|point|punkt|\.){_SHUT}|\s++dot\s++)"
 #: Top-level domains with which "name at host dot com" is read as an address without any brackets.
 _TLD = "(?:com|org|net|edu|gov|mil|info|biz|io|ai|app|dev|me|tv|co|eu|uk|us|ca|au|nz|ie|de|at|ch|fr|be|nl|lu|es|pt|it|mx|ar|br|cl|pl|cz|se|no|fi|dk|ru|ua|tr|gr|jp|cn|kr|in|za|example|test)"
 _ANY = rf"(?:{_DOT}|\.)"
-_DISGUISED = re.compile(rf"(?<![\w.+%-])(?:{_NAME})(?:(?:{_AT}|\s?@\s?)(?:{_LABEL})(?:{_ANY}{_LABEL})+|\s+at\s+{_LABEL}(?:\.{_LABEL})*(?:{_DOT}(?:{_LABEL}{_ANY})*{_TLD})(?![\w-]))", re.I)
-_HINT = re.compile(rf"[\[({{<]\s?(?:at|@|arroba|chez|dot|punto|point|punkt|\.)\s?[\])}}>]|\sdot\s|\s@|@\s", re.I)
-_AT_PART, _DOT_PART = re.compile(rf"{_AT}|\s?@\s?|\s+at\s+", re.I), re.compile(_DOT, re.I)
-
-_EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*+)\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
+#: What stands for "@": bracketed, with blanks, or the bare word, which asks for more on both sides.
+_AT = re.compile(rf"{_OPEN}(?:at|@|arroba|chez){_SHUT}|(?<!\s)\s?@\s?|(?<!\s)(?P<bare>\s++at\s++)", re.I)
+_HOST = re.compile(rf"{_LABEL}(?:{_ANY}{_LABEL})++", re.I)
+_BARE_HOST = re.compile(rf"{_LABEL}(?:\.{_LABEL})*(?:{_DOT}(?:{_LABEL}{_ANY})*{_TLD})(?![\w-])", re.I)
+_PLAIN_HOST = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.{_TLD}(?![\w-]|\.\w)", re.I)
+#: Of a text read backwards: the words and dots of a name.
+_EMAN = re.compile(r"[\w+%-]++(?:(?:\.|\s?[\])}>]\s?(?:tod|otnup|tniop|tknup|\.)\s?[\[({<]\s?|\s++tod\s++)[\w+%-]++)*+", re.I)
+_DOT_PART = re.compile(_DOT, re.I)
+
+_EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]++(?:\.[\w+%-]++)*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*+)\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_KEY = re.compile(r"(?<![a-z0-9])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\s*[:=]\s*[\"']?([A-Za-z0-9_+/=.-]{8,})", re.I)
+_KEY = re.compile(r"(?<![a-z0-9])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\s*+[:=]\s*+[\"']?([A-Za-z0-9_+/=.-]{8,})", re.I)
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")
-_FOURS = re.compile(r"\d{16}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}")
 _SSN = re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?![\w-])")
 
@@ -89,15 +96,22 @@ class View:
         """With disjoint spans replaced, in order; each written character stands for its whole span."""
         if not edits:
             return self
-        start = np.arange(len(self.text)) if self.start is None else self.start
-        end = np.arange(1, len(self.text) + 1) if self.end is None else self.end
-        at, text, starts, ends = 0, [], [], []
+        size = len(self.text)
+        start = np.arange(size) if self.start is None else self.start
+        end = np.arange(1, size + 1) if self.end is None else self.end
+        text, at = [], 0
         for a, b, new in edits:
-            text += [self.text[at:a], new]
-            starts += [start[at:a], np.full(len(new), start[a] if b > a else 0)]
-            ends += [end[at:a], np.full(len(new), end[b - 1] if b > a else 0)]
+            text += (self.text[at:a], new)
             at = b
-        return View("".join([*text, self.text[at:]]), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
+        a, b, long = (np.array(x, np.int64) for x in ([e[0] for e in edits], [e[1] for e in edits], [len(e[2]) for e in edits]))
+        turn = np.zeros(size + 1, np.int64)
+        np.add.at(turn, a, 1)
+        np.add.at(turn, b, -1)
+        stays = np.cumsum(turn[:-1]) == 0
+        behind = np.repeat(np.cumsum(a - np.append(0, b[:-1])), long)
+        put = lambda kept, new: np.insert(kept[stays], behind, np.repeat(new, long))
+        some = b > a
+        return View("".join([*text, self.text[at:]]), put(start, np.where(some, start[np.minimum(a, size - 1)], 0)), put(end, np.where(some, end[np.maximum(b - 1, 0)], 0)))
 
 
 def homoglyphs(v: View) -> View:
@@ -121,14 +135,35 @@ def spelled_digits(v: View) -> View:
     return v.replaced(edits)
 
 
+def _name_start(text: str, back: str, stop: int) -> int:
+    """Where the name that ends at stop begins: as far to the left as its words and dots go; stop if there is none."""
+    m = _EMAN.match(back, len(text) - stop)
+    if not m:
+        return stop
+    a = len(text) - m.end()
+    while a < stop and a and (text[a - 1] in ".+%-" or text[a - 1].isalnum() or text[a - 1] == "_"):  # begins within a word: goes on to the next one
+        d = _DOT_PART.search(text, a, stop)
+        a = d.end() if d else stop
+    return a
+
+
 def at_and_dot(v: View) -> View:
-    if not _HINT.search(v.text):
-        return v
-    edits = []
-    for m in _DISGUISED.finditer(v.text):
-        at = _AT_PART.search(m[0])
-        own = [(at.start(), at.end(), "@")] + [(d.start(), d.end(), ".") for d in _DOT_PART.finditer(m[0]) if d.end() <= at.start() or d.start() >= at.end()]
-        edits += [(a + m.start(), b + m.start(), new) for a, b, new in sorted(own) if m[0][a:b] != new]
+    text, back, edits, done = v.text, None, [], 0
+    for at in _AT.finditer(text):
+        if at.start() < done:
+            continue
+        end = at.end()
+        host = (_BARE_HOST if at["bare"] else _HOST).match(text, end)
+        plain = None if host or not at["bare"] else _PLAIN_HOST.match(text, end)
+        if not (host or plain):
+            continue
+        back = back if back is not None else text[::-1]
+        begin = max(_name_start(text, back, at.start()), done)
+        if begin >= at.start() or (plain and not re.search(r"[.\d_]", text[begin : at.start()])):
+            continue
+        done = (host or plain).end()
+        own = [(d.start(), d.end(), ".") for a, b in ((begin, at.start()), (end, done)) for d in _DOT_PART.finditer(text, a, b)]
+        edits += [x for x in sorted([*own, (at.start(), end, "@")]) if text[x[0] : x[1]] != x[2]]
     return v.replaced(edits)
 
 
@@ -150,12 +185,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
-    if re.search(r"\d\d", text):
+    if re.search(r"\d[\d.]", text):
         found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if iban_ok(m[0])]
         found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text)]
         found += [(m.start(), m.end(), "secret") for m in _HEX.finditer(text)]
         for m in _CARD.finditer(text):
-            if _FOURS.fullmatch(m[0]) or luhn(re.sub(r"\D", "", m[0])):
+            if luhn(re.sub(r"\D", "", m[0])):
                 found.append((m.start(), m.end(), "card"))
         found += [(m.start(), m.end(), "ssn") for m in _SSN.finditer(text)]
         for m in _PHONE.finditer(text):
@@ -164,9 +199,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 found.append((m.start(), m.end(), "phone"))
     found += [(m.start(1), m.end(1), "secret") for m in _KEY.finditer(text)]
     found.sort(key=lambda x: (KINDS.index(x[2]), x[0] - x[1], x[0]))
-    kept: list[tuple[int, int, str]] = []
+    taken, kept = bytearray(len(text)), []
     for a, b, kind in found:
-        if all(b <= c or a >= d for c, d, _ in kept):
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = bytes([1]) * (b - a)
             kept.append((a, b, kind))
     return sorted(kept)
 

@@ -331,6 +331,122 @@ def test_clean_texts_have_none(text):
     assert pii.identifiers(text) == []
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("mail john.doe at example.com now", ["john.doe@example.com"]), ("we met at example.com today", []), ("x_1 at host.museum", []), ("a1 at b.co.uk.", ["a1@b.co.uk"]),
+        ("a dot b at c dot com", ["a.b@c.com"]), (".a dot b at c dot com", ["b@c.com"]), ("a@b.c dot com, d@e.org", ["a@b.c.com", "d@e.org"]), ("x [at] y [dot] z, x at y dot com", ["x@y.z", "x@y.com"]), ("a at b at c dot com", ["b@c.com"]),
+    ],
+)
+def test_disguised_addresses(text, found):
+    assert [n.replace(" ", "") for k, _, _, n in pii.identifiers(text) if k == "email"] == [f for f in found if re.search(r"[a-z]{2,}$", f)]
+
+
+def test_a_card_needs_its_check_digit():
+    assert pii.luhn("4111111111111111") and [k for k, *_ in pii.identifiers("4111 1111 1111 1111, 4111 1111 1111 1112 and 1234567890123456")] == ["card"]
+
+
+def brute_found(text):
+    """Addresses of machines, social numbers and e-mail by trying every substring; overlaps by trying every pair."""
+    word = lambda c: c.isalnum() or c == "_"
+    def ip(x, before, after, then):
+        parts = x.split(".")
+        return len(parts) == 4 and all(q.isdigit() and len(q) < 4 and int(q) < 256 and str(int(q)) == q for q in parts) and not (before.isdigit() or before == ".") and not after.isdigit() and not (after == "." and then.isdigit())
+    def ssn(x, before, after, then):
+        return len(x) == 11 and x[3] == x[6] == "-" and (x[:3] + x[4:6] + x[7:]).isdigit() and not (word(before) or (before and before in ".+-")) and not (word(after) or after == "-")
+    def email(x, before, after, then):
+        name, at, host = x.partition("@")
+        labels = host.split(".")
+        fine = all(q and all(word(c) or c in "+%-" for c in q) for q in name.split(".")) and len(labels) > 1 and all(q and q[0].isalnum() and all(c.isalnum() or c == "-" for c in q) for q in labels)
+        return bool(at) and fine and labels[-1].isalpha() and 2 <= len(labels[-1]) and not (word(before) or (before and before in ".+%-")) and not after.isalnum()
+    n, out = len(text), []
+    for kind, fits in (("ip", ip), ("ssn", ssn), ("email", email)):
+        ends = [max((b for b in range(a + 1, n + 1) if fits(text[a:b], text[a - 1 : a] if a else "", text[b : b + 1], text[b + 1 : b + 2])), default=None) for a in range(n)]
+        a = 0
+        while a < n:
+            if ends[a]:
+                out.append((a, ends[a], kind))
+                a = ends[a]
+            else:
+                a += 1
+    out.sort(key=lambda x: (pii.KINDS.index(x[2]), x[0] - x[1], x[0]))
+    kept = []
+    for x in out:
+        if not any(x[0] < b and a < x[1] for a, b, _ in kept):
+            kept.append(x)
+    return sorted(kept)
+
+
+def test_detection_against_brute_force():
+    rng = random.Random(12)
+    pool = ["1.2.3.4", "255.0.10.9", "256.1.1.1", "123-45-6789", "ab@c.de", "x.y@z-1.org", "01.2.3.4", " ", " ", ".", "-", "7", "a", "@", "_"]
+    seen = 0
+    for _ in range(1500):
+        text = "".join(rng.choices(pool, k=rng.randint(1, 5)))
+        got = [x for x in pii.detect(text) if x[2] in ("ip", "ssn", "email")]
+        other = [x for x in pii.detect(text) if x not in got]
+        want = [x for x in brute_found(text) if not any(x[0] < b and a < x[1] and pii.KINDS.index(k) < pii.KINDS.index(x[2]) for a, b, k in other)]
+        assert got == want, text
+        seen += len(got)
+    assert seen > 500
+
+
+LONG = {
+    "blanks": "1" + " " * 200_000 + "x", "numbers and blanks": ("1" + " " * 500) * 400, "a dot a": "a dot " * 33_000, "a dot blanks": "a" + " " * 200_000 + "dot x", "addresses": "jane.doe@mail.example.com " * 8_000, "at": "a at " * 40_000, "at blanks": "x at" + " " * 200_000,
+    "dots": "a." * 100_000, "digits": "1" * 200_000, "digit words": "one " * 50_000, "keys": "token " * 33_000, "brackets": "[at] (dot) " * 20_000, "at hosts": "b.c at " * 28_000, "signs": "@" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_time_grows_with_the_length(name):
+    import time
+
+    began = time.process_time()
+    found = pii.identifiers(LONG[name])
+    assert time.process_time() - began < 2
+    assert len(found) == (8_000 if name == "addresses" else len(found))
+
+
+PAGES = {"<a ": "<a " * 66_000, "quotes": '<a ">" ' * 28_000 + '"', "<!": "<!x " * 50_000, "<html ": "<html " * 33_000, "comments": "<!-- " * 40_000, "scripts": "<script " * 25_000, "heads": "<head><meta " * 16_000, "</script": "<script>" + "</script " * 22_000, "entities": "&amp" * 50_000, "<p>": "<p>a" * 50_000, "<": "<" * 200_000}
+
+
+@pytest.mark.parametrize("name", PAGES)
+@pytest.mark.parametrize("end", ["", ">"])
+def test_time_grows_with_the_page(name, end):
+    import time
+
+    began = time.process_time()
+    html_text.extract(PAGES[name] + end)
+    assert time.process_time() - began < 2
+
+
+def test_tags_that_never_end():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts("<p>one<a href='x") == ["one<a href='x"] and texts('<p title="a>b">one</p>') == ["one"]
+    assert texts("<p>a<b title='x>b</b><p>c") == ["ab", "c"]  # the quote is never closed
+
+
+def test_first_pass_against_brute_force():
+    rng = random.Random(4)
+    stops = frozenset(["the", "of", "and"])
+    for _ in range(600):
+        words = rng.choices(["the", "of", "house", "blue7", "x", "©" if rng.random() < 0.05 else "river"], k=rng.randint(0, 80))
+        text = " ".join(words)
+        links = rng.choice([0, 0, rng.randint(0, len(text))])
+        only = [re.sub(r"[\d_]", " ", w).split() for w in words]
+        letters = [x for w in only for x in w if x.isalpha()]
+        density = sum(x in stops for x in letters) / len(letters) if letters else 0
+        if "©" in text or 5 * links > len(text):
+            want = "bad"
+        elif len(text) < 70:
+            want = "bad" if links else "short"
+        elif density < 0.08:
+            want = "bad"
+        else:
+            want = "good" if density >= 0.15 and len(text) > 200 else "near"
+        assert html_text.first_pass(html_text.Block(text, links, False), stops) == want
+
+
 def test_view_offsets_against_brute_force():
     rng = random.Random(1)
     for _ in range(300):
