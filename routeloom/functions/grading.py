@@ -38,19 +38,19 @@ def _close(a: float, b: float) -> bool:
 
 @grader("mcq_letter")
 def mcq_letter(response: str, answer: str) -> Graded:
-    got = t.extract_choice(response)
+    got = t.extract("choice", response)
     return got, bool(got) and got == answer.strip().upper()
 
 
 @grader("exact_match_ci")
 def exact_match_ci(response: str, answer: str) -> Graded:
-    got = t.extract_short_text(response)
+    got = t.extract("short_text", response)
     return got, got is not None and t.normalize_text(got) == t.normalize_text(answer)
 
 
 @grader("numeric_match")
 def numeric_match(response: str, answer: str) -> Graded:
-    got = t.extract_number(response)
+    got = t.extract("number", response)
     if got is None:
         return None, False
     a, b = map(t.normalize_number, (got, answer))
@@ -61,7 +61,7 @@ def numeric_match(response: str, answer: str) -> Graded:
 
 @grader("math_expression")
 def math_expression(response: str, answer: str) -> Graded:
-    got = t.extract_expression(response)
+    got = t.extract("expression", response)
     if got is None:
         return None, False
     a, b = map(t.normalize_number, (got, answer))

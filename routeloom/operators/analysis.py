@@ -41,7 +41,7 @@ def cells(rm: DataFrame, datasets: DataFrame) -> DataFrame:
     won = (F.col("n_correct") == F.col("top")) & (F.col("alone") == 1)
     total = lambda c: F.sum(c.cast("long"))
     return marked(rm).join(datasets, "doc_id").groupBy("dataset", "agent", "pos").agg(
-        F.count("*").alias("n_tasks"), *(F.sum(c).alias(c) for c in ("n_correct", "n_empty", "n_error", "n_calls", "top")),
+        F.count("*").alias("n_tasks"), *(F.sum(c).alias(c) for c in ("n_correct", "n_empty", "n_error", "n_calls", "top")), F.sum("cost_usd" if "cost_usd" in rm.columns else F.lit(0.0)).alias("cost_usd"),
         total(won).alias("wins"), total(F.col("top") == F.col("low")).alias("equal"), total(F.col("alone") == 1).alias("unique"),
     )
 
@@ -110,11 +110,11 @@ def per_agent(rm: DataFrame, calls: DataFrame, repetitions: int) -> DataFrame:
 
 
 def health(rm: DataFrame, datasets: DataFrame, repetitions: int) -> DataFrame:
-    """One row of the eleven flat metrics."""
+    """One row of the twelve flat metrics; total_cost_usd is 0 if the calls had no cost."""
     base = cells(rm, datasets)
     t = base.where("pos = 0").agg(F.sum("n_tasks").alias("n"), *(F.sum(c).alias(c) for c in ("top", "equal", "unique")))
-    a = base.groupBy("agent").agg(*(F.sum(c).alias(c) for c in ("n_correct", "n_empty", "n_error", "n_calls", "wins")))
-    a = a.agg(F.max("n_correct").alias("best"), F.max(ratio(F.col("n_empty"), F.col("n_calls"))).alias("empty"), F.max(ratio(F.col("n_error"), F.col("n_calls"))).alias("error"), F.min("wins").alias("wins"), F.count("*").alias("agents"))
+    a = base.groupBy("agent").agg(*(F.sum(c).alias(c) for c in ("n_correct", "n_empty", "n_error", "n_calls", "wins", "cost_usd")))
+    a = a.agg(F.max("n_correct").alias("best"), F.sum("cost_usd").alias("cost"), F.max(ratio(F.col("n_empty"), F.col("n_calls"))).alias("empty"), F.max(ratio(F.col("n_error"), F.col("n_calls"))).alias("error"), F.min("wins").alias("wins"), F.count("*").alias("agents"))
     one = t.crossJoin(a).crossJoin(combination(accuracy_of(base, repetitions)))  # one row each
     calls = F.col("n") * repetitions
     oracle, best = F.col("top") / calls, F.col("best") / calls
@@ -130,6 +130,7 @@ def health(rm: DataFrame, datasets: DataFrame, repetitions: int) -> DataFrame:
         F.col("n_datasets").cast("double").alias("n_datasets"),
         oracle.alias("oracle_per_question"),
         best.alias("best_single_score"),
+        F.col("cost").alias("total_cost_usd"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -86,12 +87,30 @@ def pending(tasks: DataFrame, done: DataFrame) -> DataFrame:
     return tasks.join(done.select("task_id").distinct(), "task_id", "left_anti")
 
 
+def unfit(done: DataFrame, pool_version: str, agent_order: Sequence[str], repetitions: int) -> DataFrame:
+    """(task_id, field) of records that another plan made, by the first field that differs."""
+    plan = {"pool_version": F.lit(pool_version), "agent_order": F.array(*map(F.lit, agent_order)), "repetitions": F.lit(repetitions)}
+    field = F.coalesce(*(F.when(~F.col(name).eqNullSafe(expected), name) for name, expected in plan.items()))
+    return done.select("task_id", field.alias("field")).where("field is not null")
+
+
 def must_fit(done: DataFrame, pool_version: str, agent_order: Sequence[str], repetitions: int) -> None:
     """Records to resume from must have been made by the same plan."""
-    for name, expected in (("pool_version", F.lit(pool_version)), ("agent_order", F.array(*map(F.lit, agent_order))), ("repetitions", F.lit(repetitions))):
-        bad = done.where(~F.col(name).eqNullSafe(expected)).select("task_id", name).take(1)
-        if bad:
-            raise IntegrityError(f"can't resume: {bad[0].asDict()}")
+    bad = unfit(done, pool_version, agent_order, repetitions).take(1)
+    if bad:
+        raise IntegrityError(f"can't resume: {bad[0].asDict()}")
+
+
+def replies(bodies: DataFrame, text: str = "body") -> DataFrame:
+    """bodies with what parse_body() reads from them: said, error, finish_reason, completion_tokens and fatal."""
+    new = "said string, error string, finish_reason string, completion_tokens long, fatal boolean"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [parse_body(x) for x in batch[text]]
+            yield batch.assign(said=[r.text for r in got], error=[r.error for r in got], finish_reason=[r.finish_reason for r in got], completion_tokens=pd.array([r.completion_tokens for r in got], "Int64"), fatal=[r.fatal for r in got])
+
+    return bodies.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bodies.schema) + f", {new}")
 
 
 def cost_ceiling(tasks: DataFrame, prices: Sequence[tuple[str, float, float]], repetitions: int, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -115,6 +134,19 @@ def with_retries(call: Callable[[], Reply], status: Callable[[Reply], int | None
     raise AssertionError("unreachable")
 
 
+def status_of(reply: Reply) -> int | None:
+    """The status that a reply's error names; one that names none (an unreadable body, a broken connection) counts as 500."""
+    if reply.error is None:
+        return None
+    m = re.match(r"HTTP (\d{3})", reply.error)
+    return int(m[1]) if m else 500
+
+
+def retrying(chat: Chat, attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> Chat:
+    """A provider whose calls are repeated as with_retries() tells, also where an upstream error came within a successful response."""
+    return lambda agent, said, repetition: with_retries(lambda: chat(agent, said, repetition), status_of, attempts, sleep)
+
+
 def parse_body(text: str) -> Reply:
     """A reply from a response body: keep-alive lines that begin with ':' are dropped; an error object within a 200 is an error."""
     lines = "\n".join(x for x in text.splitlines() if not x.lstrip().startswith(":")).strip()
@@ -133,12 +165,14 @@ def parse_body(text: str) -> Reply:
     return Reply((choice.get("message") or {}).get("content") or "", finish_reason=choice.get("finish_reason"), cost_usd=usage.get("cost"), **{k: usage.get(k) for k in ("prompt_tokens", "completion_tokens")})
 
 
-def collect(tasks: DataFrame, agents: Sequence[str], chat: Chat, repetitions: int = 3, store_raw: bool = True, max_tokens: int = MAX_TOKENS, concurrency: int = 8) -> DataFrame:
-    """Graded calls of tasks (task_id, prompt, answer, grader), tasks in turn and a task's calls together.
+def collect(tasks: DataFrame, agents: Sequence[str], chat: Chat, repetitions: int = 3, store_raw: bool = True, max_tokens: int = MAX_TOKENS, concurrency: int = 8, attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Graded calls of tasks (task_id, prompt, answer, grader), tasks in turn and a task's calls together; each is repeated up to ``attempts`` times.
 
     Fatal errors and replies above the cap fail the Spark task, so none of its rows are written.
     """
 
+    chat = retrying(chat, attempts, sleep)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:

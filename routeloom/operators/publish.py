@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.schemas import must_be_empty
-
 MARKERS = tuple(f'"{name}"' for name in ("answer", "prompt", "raw_response"))
 MANIFEST = ("index", "id", "slug", "is_reasoning_model", "context_window", "price_per_1m_prompt_usd", "price_per_1m_output_usd", "verified_at")
 
@@ -16,16 +14,16 @@ MANIFEST = ("index", "id", "slug", "is_reasoning_model", "context_window", "pric
 def public_rows(rm: DataFrame, tasks: DataFrame, agents: Sequence[str], repetitions: int, pool_version: str, excluded_prefixes: Sequence[str] = ("rlpr",)) -> DataFrame:
     """One redacted row for each scored task: counts, rewards, winners and the task's labels, no text.
 
-    A reward without its task is an error.  Tasks whose id begins with an excluded prefix are left out.
+    A reward without its task fails the query that reads the rows.  Tasks whose id begins with an excluded prefix are left out.
     """
     cells = F.sort_array(F.collect_list(F.struct("pos", "agent", "n_correct", "n_empty", "n_error")))
     rows = rm.groupBy("doc_id").agg(cells.alias("c"))
-    labels = tasks.select("doc_id", "task_id", "dataset", "domain", "difficulty", "task_group", *(["split"] if "split" in tasks.columns else []))
-    must_be_empty(rows.join(labels, "doc_id", "left_anti").select("doc_id"), "rewards without a task")
+    labels = tasks.select("doc_id", F.col("task_id").alias("_task"), "dataset", "domain", "difficulty", "task_group", *(["split"] if "split" in tasks.columns else []))
     column = lambda f: F.transform("c", lambda x: x[f].cast("long"))
     top = F.array_max(column("n_correct"))
     best = F.transform(F.filter("c", lambda x: x["n_correct"] == top), lambda x: x["agent"])
-    j = rows.join(labels, "doc_id")
+    missing = F.raise_error(F.concat(F.lit("a reward without its task: "), F.col("doc_id").cast("string")))
+    j = rows.join(labels, "doc_id", "left").withColumn("task_id", F.when(F.col("_task").isNull(), missing.cast("string")).otherwise(F.col("_task")))
     for prefix in excluded_prefixes:
         j = j.where(~F.col("task_id").startswith(prefix))
     return j.select(

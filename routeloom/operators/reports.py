@@ -38,8 +38,8 @@ def provenance(title: str, inputs: Mapping[str, Path], settings: Mapping[str, ob
     return out + [""] * bool(settings)
 
 
-def health_report(per_agent: DataFrame, verdicts: DataFrame, accuracy: DataFrame, inputs: Mapping[str, Path] | None = None) -> str:
-    """Decision, gate table, E(D, M) and per-agent figures, and what to redesign."""
+def health_report(per_agent: DataFrame, verdicts: DataFrame, accuracy: DataFrame, inputs: Mapping[str, Path] | None = None, cost_usd: float | None = None) -> str:
+    """Decision, gate table, E(D, M) and per-agent figures, the cost of collection if it is known, and what to redesign."""
     gates, agents, cells = verdicts.collect(), sorted(per_agent.collect(), key=lambda r: r.pos), accuracy.collect()
     decision = max((g.verdict for g in gates), key=VERDICTS.index, default="missing")
     out = provenance("Health of the reward matrix", inputs or {})
@@ -49,6 +49,8 @@ def health_report(per_agent: DataFrame, verdicts: DataFrame, accuracy: DataFrame
     by = {(c.dataset, c.agent): c.accuracy for c in cells}
     out += ["", "## Accuracy by dataset", "", *grid(("Dataset", *names, "Best"), [(d, *(num(by.get((d, a)), 3) for a in names), max(names, key=lambda a: by.get((d, a), -1.0))) for d in sorted({c.dataset for c in cells})])]
     out += ["", "## Agents", "", *grid(("Agent", "Mean reward", "Wins alone", "Empty", "Errors", "Upper median ms"), [(a.agent, num(a.mean_reward), pct(a.unique_best_share), pct(a.empty_rate), pct(a.error_rate), a.median_latency_ms) for a in agents])]
+    if cost_usd is not None:
+        out += ["", f"Collection cost {num(cost_usd)} USD."]
     blocking = sorted(g.metric for g in gates if g.verdict in ("stop", "missing"))
     if blocking:
         out += ["", "## To redesign", "", *(f"- {m}" for m in blocking)]
@@ -70,7 +72,7 @@ def pool_report(facets: DataFrame, sources: DataFrame, losses: Mapping[str, obje
         own = sorted((c.value, c.n) for c in cells if c.facet == facet)
         total = sum(n for _, n in own) or 1
         out += [f"## By {facet}", "", *grid((facet, "Tasks", "Share"), [(v, n, pct(n / total)) for v, n in own]), ""]
-    out += ["## By source", "", *grid(("Source", "Tasks", "License"), [(s.dataset, s.n, s.last_license) for s in sorted(sources.collect(), key=lambda s: s.dataset)]), ""]
+    out += ["## By source", "", *grid(("Source", "Tasks", "License", "Prompts may be published"), [(s.dataset, s.n, s.last_license, "yes" if s.redistributable else "no, ids only") for s in sorted(sources.collect(), key=lambda s: s.dataset)]), ""]
     out += ["## Losses", "", *(f"- {k}: {v}" for k, v in losses.items()), ""]
     if unavailable:
         out += ["## Unavailable", "", *(f"- {k}: {v}" for k, v in sorted(unavailable.items())), ""]

@@ -15,14 +15,15 @@ TOLERANCE = 1e-9
 
 
 def reward_matrix(calls: DataFrame, agents: Sequence[str]) -> DataFrame:
-    """(doc_id, agent, pos, n_correct, n_empty, n_error, n_calls), zero-filled for agents that a task has no call of.
+    """(doc_id, agent, pos, n_correct, n_empty, n_error, n_calls), zero-filled for agents that a task has no call of; cost_usd, too, if calls have it.
 
     One pass: counts of all agents are conditional sums of one aggregation by task, laid out as rows afterwards.
     """
     def counts(agent: str) -> Column:
         own = F.col("agent") == agent
         total = lambda c: F.sum(F.when(own & c, 1).otherwise(0)).cast("long")
-        return F.struct(total(F.col("correct")).alias("n_correct"), total(F.col("is_empty")).alias("n_empty"), total(F.col("is_error")).alias("n_error"), total(F.lit(True)).alias("n_calls"))
+        cost = [F.sum(F.when(own, F.coalesce("cost_usd", F.lit(0.0))).otherwise(0.0)).alias("cost_usd")] if "cost_usd" in calls.columns else []
+        return F.struct(total(F.col("correct")).alias("n_correct"), total(F.col("is_empty")).alias("n_empty"), total(F.col("is_error")).alias("n_error"), total(F.lit(True)).alias("n_calls"), *cost)
 
     wide = calls.groupBy("doc_id").agg(F.array(*(F.struct(F.lit(a).alias("agent"), F.lit(k).alias("pos"), counts(a).alias("n")) for k, a in enumerate(agents))).alias("cells"))
     return wide.select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.agent", "c.pos", "c.n.*")

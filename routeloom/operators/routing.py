@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,13 @@ def first_best(logits: Column) -> Column:
     return (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
 
 
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors (array of arrays) whose mask is 1; zeros if none is."""
+    on = F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda t: t["m"] == 1)
+    total = F.aggregate(on, F.transform(tokens[0], lambda _: F.lit(0.0)), lambda s, t: F.zip_with(s, t["v"], lambda a, b: a + b.cast("double")))
+    return F.transform(total, lambda x: x / F.greatest(F.size(on).cast("double"), F.lit(1e-6)))
+
+
 def parameter_count(dim: int, agents: int, hidden: int = 0) -> int:
     return dim * agents + agents if hidden == 0 else dim * hidden + hidden + hidden * agents + agents
 
@@ -66,32 +74,37 @@ def logits(theta: np.ndarray, x: np.ndarray, agents: int, hidden: int = 0) -> np
 
 
 def evolve(loss: Callable[[np.ndarray], float], dim: int, sigma: float = 0.5, generations: int = 60, seed: int = 42) -> tuple[np.ndarray, float]:
-    """CMA-ES with full covariance in low dimensions and a diagonal one above 200; keeps the strictly best vector seen."""
+    """CMA-ES with full covariance; keeps the strictly best vector seen.
+
+    The covariance is decomposed as often as its learning rates call for, every 1 / (10 dim (c1 + cmu)) generations; in between
+    its updates are kept as vectors, so that a large head needs no matrix at all before that.
+    """
     rng = np.random.default_rng(seed)
     lam = 4 + int(3 * np.log(dim))
     mu = lam // 2
     w = np.log(mu + 0.5) - np.log(np.arange(1, mu + 1))
     w /= w.sum()
     mueff = 1 / (w**2).sum()
-    full = dim <= 200
     cc, cs = (4 + mueff / dim) / (dim + 4 + 2 * mueff / dim), (mueff + 2) / (dim + mueff + 5)
     c1 = 2 / ((dim + 1.3) ** 2 + mueff)
     cmu = min(1 - c1, 2 * (mueff - 2 + 1 / mueff) / ((dim + 2) ** 2 + mueff))
-    if not full:
-        c1, cmu = c1 * (dim + 2) / 3, min(0.5, cmu * (dim + 2) / 3)
+    gap = max(1, int(1 / (10 * dim * (c1 + cmu))))
     damp = 1 + 2 * max(0, np.sqrt((mueff - 1) / (dim + 1)) - 1) + cs
     chi = np.sqrt(dim) * (1 - 1 / (4 * dim) + 1 / (21 * dim**2))
     mean, pc, ps = np.zeros(dim), np.zeros(dim), np.zeros(dim)
-    cov = np.eye(dim) if full else np.ones(dim)
+    cov, vec, root = None, None, np.ones(dim)  # None: the identity
+    kept, updates = 1.0, []
     best, least = mean.copy(), loss(mean)
     for g in range(generations):
-        if full:
+        if g and g % gap == 0:
+            cov = kept * (np.eye(dim) if cov is None else cov)
+            for share, v in updates:
+                cov += share * np.outer(v, v)
+            kept, updates = 1.0, []
             val, vec = np.linalg.eigh(cov)
             root = np.sqrt(np.maximum(val, 1e-20))
-            step = rng.normal(size=(lam, dim)) * root @ vec.T
-        else:
-            root = np.sqrt(cov)
-            step = rng.normal(size=(lam, dim)) * root
+        step = rng.normal(size=(lam, dim)) * root
+        step = step if vec is None else step @ vec.T
         xs = mean + sigma * step
         losses = np.array([loss(x) for x in xs])
         order = np.argsort(losses, kind="stable")
@@ -100,14 +113,12 @@ def evolve(loss: Callable[[np.ndarray], float], dim: int, sigma: float = 0.5, ge
         y = step[order[:mu]]
         move = w @ y
         mean = mean + sigma * move
-        white = vec @ ((vec.T @ move) / root) if full else move / root
+        white = move / root if vec is None else vec @ ((vec.T @ move) / root)
         ps = (1 - cs) * ps + np.sqrt(cs * (2 - cs) * mueff) * white
         turn = float(np.linalg.norm(ps) / np.sqrt(1 - (1 - cs) ** (2 * (g + 1))) < (1.4 + 2 / (dim + 1)) * chi)
         pc = (1 - cc) * pc + turn * np.sqrt(cc * (2 - cc) * mueff) * move
-        if full:
-            cov = (1 - c1 - cmu) * cov + c1 * np.outer(pc, pc) + cmu * (y.T * w) @ y
-        else:
-            cov = (1 - c1 - cmu) * cov + c1 * pc**2 + cmu * (w[:, None] * y**2).sum(axis=0)
+        kept *= 1 - c1 - cmu
+        updates = [(share * (1 - c1 - cmu), v) for share, v in updates] + [(c1, pc.copy())] + [(cmu * own, v) for own, v in zip(w, y)]
         sigma *= float(np.exp((cs / damp) * (np.linalg.norm(ps) / chi - 1)))
     return best, least
 
@@ -119,6 +130,17 @@ def train_head(x: np.ndarray, rewards: np.ndarray, hidden: int = 0, sigma: float
     return evolve(lambda t: -float(rewards[rows, logits(t, x, k, hidden).argmax(axis=1)].mean()), parameter_count(x.shape[1], k, hidden), sigma, generations, seed)[0]
 
 
+def pick_col(theta: np.ndarray, embedding: Column, agents: int, hidden: int = 0) -> Column:
+    """0-based first-best agent of a head for each embedding, by Arrow batch."""
+
+    @F.pandas_udf("int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(logits(theta, np.stack(x), agents, hidden).argmax(axis=1) if len(x) else [], dtype="int32")
+
+    return run(embedding)
+
+
 def head_report(theta: np.ndarray, x: np.ndarray, rewards: np.ndarray, hidden: int = 0) -> dict[str, float | bool]:
     """Reward of the head against uniform, best fixed and oracle; it beats the best fixed agent only if strictly better."""
     got = float(rewards[np.arange(len(x)), logits(theta, x, rewards.shape[1], hidden).argmax(axis=1)].mean())

@@ -12,6 +12,7 @@ import random
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,9 +88,14 @@ def domain_counts(tasks: DataFrame) -> dict[str, int]:
 
 def balanced(tasks: DataFrame, max_share: float = MAX_SHARE, seed: int = SEED) -> DataFrame:
     """Native: the first tasks of each domain by seeded digest, as many as the cap allows."""
-    cap = largest_cap(domain_counts(tasks).values(), max_share)
-    keys = ranked(tasks.select("domain", "task_id"), ["domain"], seeded(seed, F.col("task_id"))).where(F.col("rn") <= cap)
-    return tasks.join(keys.select("task_id"), "task_id", "left_semi")
+    return tasks.join(balanced_keys(tasks.select("domain", "task_id"), max_share, seed).select("task_id"), "task_id", "left_semi")
+
+
+def balanced_keys(keys: DataFrame, max_share: float = MAX_SHARE, seed: int = SEED) -> DataFrame:
+    """(domain, task_id) that balancing keeps.  Keys are spilled to executors' disks once, so that what they come from isn't computed for the counts, the ranks and the cut again."""
+    keys = keys.persist(StorageLevel.DISK_ONLY)
+    cap = largest_cap(domain_counts(keys).values(), max_share)
+    return ranked(keys, ["domain"], seeded(seed, F.col("task_id"))).where(F.col("rn") <= cap).select("domain", "task_id")
 
 
 def balanced_compat(tasks: DataFrame, max_share: float = MAX_SHARE, seed: int = SEED) -> DataFrame:
@@ -146,7 +152,7 @@ def split_compat(tasks: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: i
 
 
 def sample_per_domain(tasks: DataFrame, wanted: Mapping[str, int], seed: int = SEED) -> DataFrame:
-    """Compatible pilot sample: each domain has a generator of its own; a short domain gives what it has."""
+    """Compatible pilot sample: each domain has a generator of its own; a short domain gives what it has, which short_domains() tells."""
 
     def draw(key: tuple, ids: pd.DataFrame) -> pd.DataFrame:
         own = sorted(ids["task_id"])
@@ -156,6 +162,18 @@ def sample_per_domain(tasks: DataFrame, wanted: Mapping[str, int], seed: int = S
     return tasks.join(ids, "task_id", "left_semi")
 
 
+def short_domains(tasks: DataFrame, wanted: Mapping[str, int]) -> DataFrame:
+    """(domain, wanted, n) of the domains that have fewer tasks than are wanted of them, none at all included."""
+    asked = tasks.sparkSession.createDataFrame(sorted(wanted.items()), "domain string, wanted long")
+    n = tasks.groupBy("domain").agg(F.count("*").alias("n"))
+    return asked.join(n, "domain", "left").select("domain", "wanted", F.coalesce("n", F.lit(0)).alias("n")).where("n < wanted")
+
+
+def dataset_of(task_id: Column) -> Column:
+    """A task's dataset: its id up to the first slash."""
+    return F.substring_index(task_id, "/", 1)
+
+
 def split_counts(tasks: DataFrame) -> DataFrame:
     """(split, n) for train, validation and test, zeros included."""
     return tasks.groupBy().agg(*(F.count(F.when(F.col("split") == s, 1)).alias(s) for s in RATIOS)).unpivot([], list(RATIOS), "split", "n")
@@ -187,5 +205,6 @@ def facets(tasks: DataFrame, columns: tuple[str, ...] = ("dataset", "domain", "d
 
 
 def source_table(tasks: DataFrame) -> DataFrame:
-    """(dataset, n, first_domain, last_license) by source: the domain of its least task id, the license of its greatest."""
-    return tasks.groupBy("dataset").agg(F.count("*").alias("n"), F.min_by("domain", "task_id").alias("first_domain"), F.max_by("license", "task_id").alias("last_license"))
+    """(dataset, n, first_domain, last_license, redistributable) by source: the domain of its least task id, the license of its greatest, and whether that one's prompt may be published."""
+    free = F.coalesce(F.max_by("redistributable", "task_id"), F.lit(False)) if "redistributable" in tasks.columns else F.lit(False)
+    return tasks.groupBy("dataset").agg(F.count("*").alias("n"), F.min_by("domain", "task_id").alias("first_domain"), F.max_by("license", "task_id").alias("last_license"), free.alias("redistributable"))

@@ -30,10 +30,11 @@ class Built:
     stats: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def build_tasks(spark: SparkSession, limits: Mapping[str, int], rows: Mapping[str, DataFrame] | None = None, mirror: str = "", max_share: float = taskpool.MAX_SHARE, seed: int = taskpool.SEED, compat: bool = True) -> Built:
+def build_tasks(spark: SparkSession, limits: Mapping[str, int], rows: Mapping[str, DataFrame] | None = None, mirror: str = "", max_share: float = taskpool.MAX_SHARE, seed: int = taskpool.SEED, compat: bool = False) -> Built:
     """Load, map, limit, deduplicate, balance and split.  ``rows`` (with an ``index`` column) take the place of a source's files.
 
-    Sources are read in the order of their names; one that can't be read is noted and left out.
+    Sources are read in the order of their names; one that can't be read is noted and left out.  ``compat`` draws with Python's
+    generator as the original process did, on the driver, instead of by seeded digests.
     """
     built = Built(None)
     parts = []
@@ -98,9 +99,9 @@ def gate_and_baselines(records: DataFrame, tasks: DataFrame, gates: DataFrame, s
         raise IntegrityError("no reward records")
     agents, repetitions = first.agent_order, first.repetitions
     long = rewards.calls_of(records)
-    calls = long.select(F.col("task_id").alias("doc_id"), "agent", "correct", F.col("empty").alias("is_empty"), F.col("error").isNotNull().alias("is_error"), "latency_ms")
+    calls = long.select(F.col("task_id").alias("doc_id"), "agent", "correct", F.col("empty").alias("is_empty"), F.col("error").isNotNull().alias("is_error"), "latency_ms", "cost_usd")
     rm = rewards.reward_matrix(calls, agents)
-    datasets = records.select(F.col("task_id").alias("doc_id"), F.substring_index("task_id", "/", 1).alias("dataset"))
+    datasets = records.select(F.col("task_id").alias("doc_id"), taskpool.dataset_of(F.col("task_id")).alias("dataset"))
     verdicts = analysis.gate_verdicts(analysis.long_metrics(analysis.health(rm, datasets, repetitions)), gates)
     held = rm.join(tasks.where(F.col("split") == split).select(F.col("task_id").alias("doc_id")), "doc_id", "left_semi")
     return Gate(analysis.gate_decision(verdicts).first().decision, verdicts, analysis.per_agent(rm, calls, repetitions), analysis.dataset_accuracy(rm, datasets, repetitions), analysis.baselines(held, repetitions))
@@ -117,21 +118,29 @@ def publish_rewards(records: DataFrame, tasks: DataFrame, folder: str | Path, ex
     return n
 
 
-def train_head(records: DataFrame, embeddings: DataFrame, tasks: DataFrame, folder: str | Path, generations: int = 60, seed: int = 42) -> dict:
-    """Trains a linear head on everything outside the test split (a fallback split if that is empty) and reports on the test split.
+#: Records that a head is fitted on, at most: the search runs on the driver.
+FIT_ROWS = 5000
 
-    The head is fitted on the driver, so its rows are collected: records are a pilot's, a few thousand at most.
+
+def train_head(records: DataFrame, embeddings: DataFrame, tasks: DataFrame, folder: str | Path, generations: int = 60, seed: int = 42, fit_rows: int = FIT_ROWS) -> dict:
+    """Trains a linear head on tasks outside the test split (a fallback split if either side is empty) and reports on all of the test split.
+
+    At most ``fit_rows`` records, those of the least digests, are collected to fit the head; the report is computed where the records are.
     """
-    matrix = records.join(embeddings.select("task_id", "embedding"), "task_id").join(tasks.select("task_id", "split"), "task_id")
-    rows = matrix.select("task_id", "embedding", "mean_reward", "split", "agent_order").orderBy("task_id").collect()
-    if len(rows) < 10:
+    matrix = records.join(embeddings.select("task_id", "embedding"), "task_id").join(tasks.select("task_id", F.coalesce("split", F.lit("")).alias("split")), "task_id")
+    matrix = matrix.select("task_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), "mean_reward", "agent_order", (F.col("split") == "test").alias("test"))
+    sides = {r.test: r.n for r in matrix.groupBy("test").agg(F.count("*").alias("n")).collect()}
+    if sum(sides.values()) < 10:
         raise ValueError("fewer than 10 rewards have an embedding")
-    x, r = np.array([a.embedding for a in rows], float), np.array([a.mean_reward for a in rows])
-    test = np.flatnonzero([a.split == "test" for a in rows])
-    fit = np.flatnonzero([a.split != "test" for a in rows])
-    if not len(test) or not len(fit):
-        fit, test = routing.fallback_split(len(rows), seed)
-    theta = routing.train_head(x[fit], r[fit], generations=generations, seed=seed)
-    report = routing.head_report(theta, x[test], r[test])
-    routing.save_head(folder, theta, rows[0].agent_order, x.shape[1], report=report)
+    if len(sides) < 2:
+        ids = sorted(r.task_id for r in matrix.select("task_id").collect())  # ids only, of a pilot without splits
+        _, at = routing.fallback_split(len(ids), seed)
+        chosen = records.sparkSession.createDataFrame([(ids[k],) for k in at], "task_id string").withColumn("_t", F.lit(True))
+        matrix = matrix.drop("test").join(chosen, "task_id", "left").withColumn("test", F.coalesce("_t", F.lit(False))).drop("_t")
+    rows = sorted(matrix.where("not test").orderBy(F.md5("task_id")).limit(fit_rows).collect(), key=lambda r: r.task_id)
+    agents = rows[0].agent_order
+    theta = routing.train_head(np.array([a.embedding for a in rows], float), np.array([a.mean_reward for a in rows]), generations=generations, seed=seed)
+    scored = matrix.where("test").select(routing.pick_col(theta, F.col("embedding"), len(agents)).alias("pick"), F.col("mean_reward").alias("rewards"))
+    report = routing.head_summary(scored, len(agents)).first().asDict()
+    routing.save_head(folder, theta, agents, len(rows[0].embedding), report=report)
     return report

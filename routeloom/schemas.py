@@ -83,5 +83,18 @@ def pool_problems(agents: list[dict]) -> list[str]:
     return out
 
 
+def agent_by_id(agents: list[dict], agent_id: str) -> dict:
+    """The agent of an id; one that isn't in the pool is an error."""
+    for a in agents:
+        if a["id"] == agent_id:
+            return a
+    raise KeyError(f"no agent {agent_id!r}")
+
+
+def unknown_agents(wanted: DataFrame, agents: DataFrame) -> DataFrame:
+    """Rows (id, ...) that name no agent of the pool."""
+    return wanted.join(agents.select("id"), "id", "left_anti")
+
+
 def sibling_modes(direct: str, reasoning: str) -> bool:
     return "-instruct" in direct and "-thinking" in reasoning and direct.replace("-instruct", "") == reasoning.replace("-thinking", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 from pathlib import Path
 
@@ -121,13 +123,38 @@ def write_jsonl_file(df: DataFrame, path: str | os.PathLike, order: str) -> int:
 
 
 def append_once(df: DataFrame, path: str, key: str) -> None:
-    """Appends rows whose key isn't there yet."""
+    """Appends rows whose key isn't there yet.
+
+    The table's keys are scanned for those of the rows, which are the smaller side; what is found, not the table, meets the rows.
+    A run that failed halfway is completed by the next one.
+    """
     spark = df.sparkSession
     if _exists(spark, path):
-        df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+        there = spark.read.parquet(path).select(key).join(df.select(key), key, "left_semi").distinct()
+        df = df.join(there, key, "left_anti")
     df.dropDuplicates([key]).write.mode("append").parquet(path)
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir), deleted when the application ends; a temporary one only if Spark runs within this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="routeloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def digest_col(text: Column) -> Column:
+    """digest() of a text."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
 def load_config(path: str | os.PathLike, **expected: str) -> dict:
     """A JSON object; named fields must have the expected values."""
     config: Mapping = json.loads(Path(path).read_text("utf-8"))

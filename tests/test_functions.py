@@ -56,9 +56,9 @@ def test_numbers(text, value):
 
 
 def test_first_line_of_a_label_ends_at_any_line_break():
-    assert t.extract_labelled("Answer: x y") == "x"
-    assert t.extract_labelled("answer the following") is None
-    assert t.extract_labelled("Answer: 1\nfinal answer is 2") == "2"
+    assert t.SIGNALS["label"]("Answer: x y") == "x"
+    assert t.SIGNALS["label"]("answer the following") is None
+    assert t.SIGNALS["label"]("Answer: 1\nfinal answer is 2") == "2"
 
 
 def test_columns_agree_with_functions(spark):
@@ -66,7 +66,7 @@ def test_columns_agree_with_functions(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
     c = F.col("x")
     for r in df.select("x", t.labelled_col(c).alias("l"), t.strip_markup_col(c).alias("m"), t.normalize_text_col(c).alias("n"), grading.text_col(t.normalize_text, c).alias("u")).collect():
-        assert r.l == t.extract_labelled(r.x), r.x
+        assert r.l == t.SIGNALS["label"](r.x), r.x
         assert r.m == t.strip_markup(r.x)
         assert r.u == t.normalize_text(r.x)
     numbers = ["$1,234.50", "(12)", "50%", "−7", "5d", "", "1e3", ".5"]

@@ -97,6 +97,13 @@ def test_violations(spark):
         schemas.must_be_empty(schemas.task_violations(tasks), "tasks")
 
 
+def test_agents_by_id(spark):
+    pool = [{"id": "a", "slug": "v/a"}, {"id": "b", "slug": "v/b"}]
+    assert schemas.agent_by_id(pool, "b")["slug"] == "v/b"
+    with pytest.raises(KeyError):
+        schemas.agent_by_id(pool, "c")
+
+
 def test_pool_contract():
     agent = lambda k, i, s, **more: {"index": k, "id": i, "slug": s, **more}
     assert schemas.pool_problems([agent(0, "x", "v/m"), agent(2, "y", "v/n"), agent(3, "z", "v/m", retired=True)]) == []
@@ -230,7 +237,7 @@ def tasks(spark):
 
 
 def test_collect_grades_every_call(tasks):
-    c = collection.collect(tasks, ("ok", "mute", "down"), chat, 2)
+    c = collection.collect(tasks, ("ok", "mute", "down"), chat, 2, sleep=lambda _: None)
     rows = c.collect()
     assert len(rows) == 24 and all(r.correct == (r.agent == "ok") for r in rows)
     assert {r.agent: (r.n_calls, r.n_error, r.n_empty) for r in collection.progress(c).collect()} == {"ok": (8, 0, 0), "mute": (8, 0, 8), "down": (8, 8, 0)}
@@ -261,6 +268,11 @@ def test_bodies_and_retries():
     waits, codes = [], [429, 500, None]
     collection.with_retries(lambda: collection.Reply(), lambda _: codes.pop(0), sleep=waits.append)
     assert len(waits) == 2 and 1 <= waits[0] <= 1.5 and 2 <= waits[1] <= 2.5
+    said = [collection.parse_body(json.dumps({"error": {"code": 429, "message": "busy"}})), collection.Reply(error="unreadable body"), collection.Reply("fine"), collection.Reply(error="HTTP 400: no")]
+    calls = []
+    patient = collection.retrying(lambda *x: calls.append(x) or said.pop(0), sleep=waits.append)
+    assert patient("a", [], 0).text == "fine" and len(calls) == 3 and len(waits) == 4
+    assert patient("a", [], 1).error.startswith("HTTP 400") and len(calls) == 4  # isn't repeated
     assert collection.messages("q", "T {transcript} Q {query}", transcript="so far")[1]["content"] == "T so far Q q"
 
 
@@ -279,8 +291,8 @@ def test_public_rows_have_no_text(spark, rm):
     assert sorted(p.columns) == sorted(f.name for f in schemas.PUBLIC_ROW) and len(p.columns) == 15
     got = {r.task_id: r for r in p.collect()}
     assert set(got) == {"s/t/1", "s/t/2", "s/t/4"} and got["s/t/1"].best_agents == ["a", "b"] and got["s/t/1"].n_correct == [2, 2, 0]
-    with pytest.raises(schemas.IntegrityError):
-        publish.public_rows(rm, t.where("doc_id <> 2"), AGENTS, 3, "v1")
+    with pytest.raises(Exception, match="a reward without its task: 2"):
+        publish.public_rows(rm, t.where("doc_id <> 2"), AGENTS, 3, "v1").collect()
     assert publish.leaking(spark.createDataFrame([('{"prompt": 1}',), ('{"n": 1}',)], "value string")).count() == 1
 
 
@@ -392,6 +404,38 @@ def test_readers_and_sinks(spark, tmp_path):
 # Routing heads
 
 
+def test_a_flaky_provider_is_asked_again(tasks):
+    def flaky(agent, messages, repetition, asked={}):  # noqa: B006
+        key = (messages[1]["content"], repetition)
+        asked[key] = asked.get(key, 0) + 1
+        return collection.Reply(error="HTTP 503") if asked[key] < 3 else collection.Reply(f"Answer: {messages[1]['content'][-1]}")
+
+    assert all(r.correct and r.error is None for r in collection.collect(tasks, ("a",), flaky, 2, sleep=lambda _: None).collect())
+    assert all(r.error == "HTTP 503" for r in collection.collect(tasks, ("a",), flaky, 2, attempts=2, sleep=lambda _: None).collect())
+
+
+def test_the_cost_of_collection(spark):
+    c = spark.createDataFrame([(1, "a", True, False, False, 0.5), (1, "b", False, False, False, None), (2, "a", True, False, False, 0.25), (2, "x", True, False, False, 9.0)], "doc_id long, agent string, correct boolean, is_empty boolean, is_error boolean, cost_usd double")
+    data = spark.createDataFrame([(1, "s"), (2, "s")], "doc_id long, dataset string")
+    assert analysis.health(rewards.reward_matrix(c, ("a", "b")), data, 1).first().total_cost_usd == 0.75
+    assert analysis.health(rewards.reward_matrix(c.drop("cost_usd"), ("a", "b")), data, 1).first().total_cost_usd == 0
+
+
+def test_search_with_many_parameters():
+    """Where the covariance is decomposed late, and where it is decomposed each time."""
+    for dim, generations in ((40, 60), (700, 120)):
+        goal = np.linspace(-1, 1, dim)
+        loss = lambda x, goal=goal: float(((x - goal) ** 2).sum())
+        best, least = routing.evolve(loss, dim, generations=generations)
+        assert least == loss(best) < (0.3 if dim == 40 else 0.95) * loss(np.zeros(dim))
+
+
+def test_masked_mean(spark):
+    rows = [([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 2.0]], [0])]
+    got = spark.createDataFrame(rows, "t array<array<double>>, m array<int>").select(routing.masked_mean(F.col("t"), F.col("m")).alias("p")).collect()
+    assert [r.p for r in got] == [[2.0, 3.0], [0.0, 0.0]]
+
+
 def test_head_shapes_and_training():
     assert routing.parameter_count(2048, 5) == 10245
     rng = np.random.default_rng(0)
