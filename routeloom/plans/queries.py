@@ -114,7 +114,7 @@ agg as (select max(n_correct) as c, max(case when n_calls = 0 then 0 else n_empt
 one as (select rer, top / (n * 3) as oracle, c / (n * 3) as fixed, equal / n as equal, uniq / n as uniq, wins / n as low, wins * k / n as scaled, empty, error, cast(n_datasets as double) as nd from tot, agg, comb),
 metrics as (select 'rer_dataset' as metric, rer as value from one union all select 'rer_per_question', case when 1 - fixed <= 1e-12 then 0 else (oracle - fixed) / (1 - fixed) end from one
   union all select 'all_equal_rate', equal from one union all select 'unique_winner_rate', uniq from one union all select 'min_unique_best_share', low from one union all select 'min_unique_best_share_scaled', scaled from one
-  union all select 'max_empty_rate', empty from one union all select 'max_error_rate', error from one union all select 'n_datasets', nd from one union all select 'oracle_per_question', oracle from one union all select 'best_single_score', fixed from one)"""
+  union all select 'max_empty_rate', empty from one union all select 'max_error_rate', error from one union all select 'n_datasets', nd from one union all select 'oracle_per_question', oracle from one union all select 'best_single_score', fixed from one union all select 'total_cost_usd', (select sum(cost_usd) from rm))"""
 
 
 def _metrics(spark, d):
@@ -312,7 +312,7 @@ def pool_facets(spark, d):
     return taskpool.facets(_split(spark, d))
 
 
-@query(f"with {TASKS_SQL} select dataset, count(*) as n, arg_min(domain, task_id) as first_domain, arg_max(license, task_id) as last_license from tasks group by 1")
+@query(f"with {TASKS_SQL} select dataset, count(*) as n, arg_min(domain, task_id) as first_domain, arg_max(license, task_id) as last_license, arg_max(redistributable, task_id) as redistributable from tasks group by 1")
 def source_table(spark, d):
     return taskpool.source_table(fx.tasks(spark, d))
 
@@ -329,11 +329,12 @@ def public_rows(spark, d):
     return rows.select("task_id", "dataset", "domain", "difficulty", "task_group", text("best_agents"), "is_tie", "repetitions", text("n_correct"), text("n_empty"), text("n_error"))
 
 
-@query(f"with {CALLS_SQL} select (select count(distinct doc_id) from calls) as n_rewards, (select count(*) from (select distinct doc_id from calls) anti join (select * from documents where doc_id % 10 <> 3) using (doc_id)) as n_unmatched")
-def missing_prompts(spark, d):
-    scored = fx.calls(spark, d).select("doc_id").distinct()
-    some = fx.table(spark, d, "documents").where(F.col("doc_id") % 10 != 3).select("doc_id", F.lit(True).alias("there"))
-    return scored.join(some, "doc_id", "left").agg(F.count("*").alias("n_rewards"), F.count(F.when(F.col("there").isNull(), 1)).alias("n_unmatched"))
+@query(f"with {CALLS_SQL}, {TASKS_SQL}, r as (select distinct source || '/' || lang || '/' || lpad(cast(doc_id as varchar), 6, '0') as task_id from documents semi join calls using (doc_id)) select task_id, prompt from r join tasks using (task_id) where doc_id % 10 <> 3 and trim(prompt) <> ''")
+def training_prompts(spark, d):
+    tasks = fx.tasks(spark, d)
+    scored = tasks.join(fx.calls(spark, d).select("doc_id").distinct(), "doc_id", "left_semi").select("task_id")
+    some = tasks.where(F.col("doc_id") % 10 != 3)
+    return routing.training_rows(scored, some).select("task_id", "prompt")
 
 
 @query("with v as (select conv_id, turn, case when conv_id % 9 = 0 then '{\"prompt\": 1}' else '{\"n\": 1}' end || coalesce(text, '') as value from conversations) select conv_id, turn from v where contains(value, '\"prompt\"') or contains(value, '\"raw_response\"') or contains(value, '\"answer\"')")
@@ -342,10 +343,9 @@ def leak_scan(spark, d):
     return publish.leaking(c.withColumn("value", F.concat(F.when(F.col("conv_id") % 9 == 0, '{"prompt": 1}').otherwise('{"n": 1}'), F.coalesce("text", F.lit(""))))).select("conv_id", "turn")
 
 
-@query("select * from (values " + ", ".join(f"({k}, '{a}', 'vendor/{a}', {k % 2 == 0}, 131072, cast({p} as double), cast({o} as double), '2026-01-01')" for k, (a, p, o) in enumerate(PRICES)) + ") v(index, agent_id, slug, is_reasoning_model, context_window, price_per_1m_prompt_usd, price_per_1m_output_usd, verified_at)")
+@query("select n_nationkey as index, lower(n_name) as agent_id, 'v' || n_regionkey || '/' || lower(n_name) as slug, n_nationkey % 2 = 0 as is_reasoning_model, 4096 * (n_nationkey + 1) as context_window, n_nationkey / 4 as price_per_1m_prompt_usd, cast(n_regionkey as double) as price_per_1m_output_usd, '2026-01-01' as verified_at from nation where n_nationkey % 5 <> 3")
 def agent_manifest(spark, d):
-    agents = spark.createDataFrame([(k, a, f"vendor/{a}", k % 2 == 0, 131072, p, o, "2026-01-01", False) for k, (a, p, o) in enumerate(PRICES)], "index long, id string, slug string, is_reasoning_model boolean, context_window long, price_per_1m_prompt_usd double, price_per_1m_output_usd double, verified_at string, retired boolean")
-    return publish.agent_manifest(agents)
+    return publish.agent_manifest(fx.agents(spark, d))
 
 
 # Texts and sources
@@ -380,52 +380,72 @@ def extract_last_number(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", t.last_number_col(F.col("text")).alias("last_number"))
 
 
-NUMBERS = ((1, "$1,234.50", "1234.5"), (2, "(12)", "-12"), (3, "50%", "50"), (4, "3.0000001", "3"), (5, "3.1", "3"), (6, "x", "3"), (7, "1e3", "1000"), (8, "−7", "-7"), (9, "5d", "5"), (10, "", ""))
-_NUM = lambda c: f"case when regexp_full_match(s_{c}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(s_{c} as double) end"
-_CLEAN = lambda c: f"regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(trim({c}), '^\\$+|\\$+$', '', 'g'), '[,%]', '', 'g'), '\\.+$', ''), '−', '-'), '^\\((.*)\\)$', '-\\1')"
+def _graded(spark, d, name: str, response: Column, answer: Column) -> DataFrame:
+    """Replies made of documents, graded by name."""
+    docs = fx.table(spark, d, "documents")
+    return docs.select("doc_id", grading.grade_col(F.lit(name), response, answer).alias("g")).select("doc_id", "g.extracted", "g.correct")
 
 
-@query(f"with v(id, got, answer) as (values {', '.join(repr(x) for x in NUMBERS)}), s as (select id, {_CLEAN('got')} as s_a, {_CLEAN('answer')} as s_b from v), n as (select id, {_NUM('a')} as a, {_NUM('b')} as b from s) select id, a as got, b as answer, coalesce(abs(a - b) <= greatest(1e-6 * greatest(abs(a), abs(b)), 1e-9), false) as correct from n")
-def numeric_grade(spark, d):
-    n = spark.createDataFrame(NUMBERS, "id int, got string, answer string").select("id", t.number_col(F.col("got")).alias("got"), t.number_col(F.col("answer")).alias("answer"))
-    return n.withColumn("correct", F.coalesce(t.close_col(F.col("got"), F.col("answer")), F.lit(False)))
+def _by(n: int, *forms: Column | str) -> Column:
+    """One of n forms by doc_id; a text is a format string's pieces already."""
+    return F.element_at(F.array(*(f if isinstance(f, Column) else F.lit(f) for f in forms)), (F.col("doc_id") % n + 1).cast("int"))
 
 
-REPLIES = ((1, "Answer: B", "B"), (2, "I think\nthe choice is c", "C"), (3, "\\boxed{D}", "D"), (4, "<answer>A</answer>", "A"), (5, "none", "A"), (6, "final answer is (E)", "E"), (7, "Cevap: b", "B"))
+_TEXT, _CHARS = lambda: F.coalesce("text", F.lit("")), lambda: F.col("n_chars")
+_LETTER = lambda shift: F.substring(F.lit("ABCDEFGHIJ"), (F.pmod(F.col("n_chars") + shift, F.lit(10)) + 1).cast("int"), F.lit(1))
 
 
-@query("select * from (values (1, 'B', true), (2, 'C', true), (3, 'D', true), (4, 'A', true), (5, null, false), (6, 'E', true), (7, 'B', true)) v(id, extracted, correct)")
+@query("""with v as (select doc_id, doc_id % 8 as k, substr('ABCDEFGHIJ', n_chars % 10 + 1, 1) as letter, substr('ABCDEFGHIJ', (n_chars + case when doc_id % 3 = 0 then 1 else 0 end) % 10 + 1, 1) as answer from documents)
+select doc_id, case when k = 4 then null else letter end as extracted, k <> 4 and letter = answer as correct from v""")
 def mcq_grade(spark, d):
-    return _graded(spark, REPLIES, "mcq_letter")
-
+    x = _LETTER(0)
+    behind = F.concat(_TEXT(), F.lit("\n"))
+    forms = (F.concat(behind, F.lit("Answer: "), x), F.concat(F.lit("I think the\nchoice is "), F.lower(x)), F.concat(behind, F.lit("\\boxed{"), x, F.lit("}")), F.concat(behind, F.lit("<answer> "), x, F.lit(" </answer>")), F.lit("none"),
+             F.concat(behind, F.lit("final answer is ("), x, F.lit(")")), F.concat(behind, F.lit("Cevap: "), F.lower(x)), F.concat(F.lit("<think>Answer: "), _LETTER(1), F.lit("</think> so\nmaybe ("), x, F.lit(")")))
+    return _graded(spark, d, "mcq_letter", _by(8, *forms), _LETTER(F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)))
 
-def _graded(spark, rows, name: str) -> DataFrame:
-    v = spark.createDataFrame(rows, "id int, response string, answer string")
-    return v.select("id", grading.grade_col(F.lit(name), F.col("response"), F.col("answer")).alias("g")).select("id", "g.extracted", "g.correct")
 
+@query("""with v as (select doc_id, doc_id % 7 as k, n_chars as n from documents)
+select doc_id, case k when 0 then format('{:,}', n) when 2 then n || '.0' when 4 then null when 5 then cast(n + 1 as varchar) when 6 then '-' || n else cast(n as varchar) end as extracted, k not in (4, 5, 6) or (k = 6 and n = 0) as correct from v""")
+def numeric_grade(spark, d):
+    n = _CHARS().cast("string")
+    forms = (F.concat(_TEXT(), F.lit("\nso #### "), F.format_number("n_chars", 0)), F.concat(F.lit("Answer: $"), n, F.lit(".")), F.concat(_TEXT(), F.lit("\n\\boxed{"), n, F.lit(".0}")), F.concat(F.lit("<delegate to=m-0731>1</delegate> it is "), n), F.lit("Answer: half"),
+             F.concat(F.lit("<think>"), n, F.lit("</think>I say "), (F.col("n_chars") + 1).cast("string")), F.concat(F.lit("<answer>-"), n, F.lit("</answer>")))
+    return _graded(spark, d, "numeric_match", _by(7, *forms), n)
 
-KEYS = ((1, "2"), (2, "4"), (3, "b"), (4, "0"), (5, "green"), (6, "9"), (7, "pink"), (8, " D "))
 
+_WORD_SQL = "coalesce(nullif(regexp_extract(coalesce(text, ''), '[a-zA-Z]+'), ''), 'x')"
 
-@query("with v(id, k) as (values " + ", ".join(map(repr, KEYS)) + "), o as (select ['red', 'green', 'blue', ' grey '] as o) select id, case when length(trim(k)) = 1 and upper(trim(k)) in ('A', 'B', 'C', 'D') then upper(trim(k)) when regexp_full_match(trim(k), '[0-9]+') then case when cast(trim(k) as int) < 4 then substr('ABCD', cast(trim(k) as int) + 1, 1) when cast(trim(k) as int) - 1 < 4 then substr('ABCD', cast(trim(k) as int), 1) end when list_position(list_transform(o, lambda x: trim(x)), trim(k)) > 0 then substr('ABCD', list_position(list_transform(o, lambda x: trim(x)), trim(k)), 1) end as letter from v, o")
-def letter_for(spark, d):
-    v = spark.createDataFrame(KEYS, "id int, k string")
-    return v.select("id", t.letter_col(F.col("k"), F.array(*map(F.lit, ("red", "green", "blue", " grey ")))).alias("letter"))
 
-
-@query("select * from (values (1, 'Straße', true), (2, 'ＡＢＣ', true), (3, 'no', false)) v(id, extracted, correct)")
+@query(f"""with v as (select doc_id, doc_id % 5 as k, {_WORD_SQL} as w from documents)
+select doc_id, case k when 0 then upper(w) || '.' when 1 then w || '  yes' when 2 then upper(w) when 3 then w || ' ' || w else '<b> ' || w end as extracted, k in (0, 2) as correct from v""")
 def text_match_grade(spark, d):
-    return _graded(spark, ((1, "Answer: Straße", "STRASSE."), (2, "Answer: ＡＢＣ", "abc"), (3, "Answer: no", "yes")), "exact_match_ci")
+    w = F.regexp_extract(_TEXT(), "[a-zA-Z]+", 0)
+    w = F.when(w == "", "x").otherwise(w)
+    # answer tags are markup like the others, so the second form is read by its last line
+    forms = (F.concat(F.lit("Answer:  "), F.upper(w), F.lit(". ")), F.concat(F.lit("no\n<answer> "), w, F.lit("</answer> yes")), F.concat(F.lit("first\n\n "), F.upper(w), F.lit(" \n")), F.concat(F.lit("final answer is "), w, F.lit(" "), w), F.concat(F.lit("so\n<b> "), w))
+    return _graded(spark, d, "exact_match_ci", _by(5, *forms), w)
 
 
-@query("select * from (values (1, '\\dfrac{1}{2}', true), (2, '3.50', true), (3, 'x+1', false)) v(id, extracted, correct)")
+@query("""with v as (select doc_id, doc_id % 5 as k, cast(n_chars as varchar) as n from documents)
+select doc_id, case k when 0 then '\\dfrac{1}{' || n || '}' when 1 then n || '.50' when 2 then '\\text{odd}' || n when 3 then 'x+' || n else '\\left(' || n || '\\right)^{\\circ}' end as extracted, k <> 3 as correct from v""")
 def latex_grade(spark, d):
-    return _graded(spark, ((1, "so \\boxed{\\dfrac{1}{2}}", "$\\frac{1}{2}$"), (2, "\\boxed{3.50}", "3.5"), (3, "\\boxed{x+1}", "x+2")), "math_expression")
+    n, cat = _CHARS().cast("string"), lambda *x: F.concat(*(c if isinstance(c, Column) else F.lit(c) for c in x))
+    forms = (cat("so \\boxed{\\dfrac{1}{", n, "}}"), cat("\\boxed{", n, ".50}"), cat("\\boxed{\\text{odd}", n, "}"), cat("\\boxed{x+", n, "}"), cat("it is \\boxed{\\left(", n, "\\right)^{\\circ}} then"))
+    answers = (cat("$\\frac{1}{", n, "}$"), cat(n, ".5"), cat("ODD", n), cat("x-", n), cat("(", n, ")"))
+    return _graded(spark, d, "math_expression", _by(5, *forms), _by(5, *answers))
 
 
-@query("select * from (values (1, 'ACCEPT', true), (2, 'REVISE', true), (3, 'REVISE', false)) v(id, extracted, correct)")
+@query("""with v as (select doc_id, doc_id % 4 as k from documents) select doc_id, case when k in (0, 3) then 'ACCEPT' else 'REVISE' end as extracted, case k when 0 then true when 1 then true when 2 then false else true end as correct from v""")
 def verifier_grade(spark, d):
-    return _graded(spark, ((1, "Accepted: fine", "accept"), (2, "it seems wrong", "REVISE"), (3, "hm, ACCEPT", "ACCEPT")), "verifier_judgment")
+    forms = (F.concat(F.lit("Accepted: "), _TEXT()), F.concat(F.lit("REVISE "), _TEXT()), F.concat(F.lit("hm, ACCEPT "), _TEXT()), F.concat(F.lit("<think>REVISE</think>\n accept\n"), _TEXT()))
+    return _graded(spark, d, "verifier_judgment", _by(4, *forms), _by(4, "accept", "REVISE", "ACCEPT", "Accept "))
+
+
+@query("""with v as (select doc_id, case doc_id % 9 when 0 then '2' when 1 then '4' when 2 then 'b' when 3 then '0' when 4 then 'green' when 5 then '9' when 6 then lang when 7 then ' D ' else cast(n_chars % 6 as varchar) end as k from documents), o as (select ['red', 'green', 'de', ' fr '] as o) select doc_id, case when length(trim(k)) = 1 and upper(trim(k)) in ('A', 'B', 'C', 'D') then upper(trim(k)) when regexp_full_match(trim(k), '[0-9]+') then case when cast(trim(k) as int) < 4 then substr('ABCD', cast(trim(k) as int) + 1, 1) when cast(trim(k) as int) - 1 < 4 then substr('ABCD', cast(trim(k) as int), 1) end when list_position(list_transform(o, lambda x: trim(x)), trim(k)) > 0 then substr('ABCD', list_position(list_transform(o, lambda x: trim(x)), trim(k)), 1) end as letter from v, o""")
+def letter_for(spark, d):
+    key = _by(9, "2", "4", "b", "0", "green", "9", F.col("lang"), " D ", (F.col("n_chars") % 6).cast("string"))
+    return fx.table(spark, d, "documents").select("doc_id", t.letter_col(key, F.array(*map(F.lit, ("red", "green", "de", " fr ")))).alias("letter"))
 
 
 @query("select doc_id, case when n_chars % 2 = 0 then 'ACCEPT' else 'REVISE' end as truth from documents")
@@ -469,7 +489,7 @@ def _mapped(name: str, split: str, ok: str, answer: str, difficulty: str) -> str
     return f"select '{name}' as source, i as index, case when {ok} then format('{name}/{split}/{{:06d}}', i) end as task_id, case when {ok} then {answer} end as answer, case when {ok} then {difficulty} end as difficulty, case when not ({ok}) then 'mapper_returned_none' end as reason from d"
 
 
-MAPPED_SQL = "with d as (select doc_id as i, trim(substr(text, 1, 200)) as q, n_chars as n from documents) " + " union all ".join(
+MAPPED_SQL = "with d as (select doc_id as i, trim(text) as q, n_chars as n from documents) " + " union all ".join(
     _mapped(*x)
     for x in (
         ("aime2025_i", "test", "q <> '' and n <> 0", "cast(n as varchar)", "'hard'"),
@@ -509,7 +529,7 @@ def shuffled_source(spark, d):
 
 
 def _raw(spark, d) -> tuple[DataFrame, Column]:
-    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.substring("text", 1, 200).alias("q"), "n_chars")
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.col("text").alias("q"), "n_chars")
     return docs, F.array(*(F.concat(F.lit(f"option {k} "), F.col("n_chars").cast("string")) for k in range(4)))
 
 
