@@ -16,8 +16,9 @@ Defined cases: turns are read in the order of (turn, role, text), nulls last;
 rows that repeat all of them count once, so equal turn numbers are ties broken by
 role and text.  A null or unknown role fits no state and has to be relabelled;
 some common names of roles are understood.  A null text is empty.  Rows with a
-null conv_id belong to no conversation and are left out.  Other columns are
-ignored; an empty table gives no rows.
+null conv_id belong to no conversation and are left out; other ids have to be numbers.
+A conversation of any length is repaired as a whole, in time that grows with its turns.
+Other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,9 +17,10 @@ Result: one row for each document and matching license, with the best
 coefficient and the place (character offsets) of the first shortest unit that
 has it; of a license with several forms (line, notice, beginning, full text) that
 is the place of the best form.  The three CC licenses have no template of their
-full legal code.  Defined cases: null and empty texts, and texts of a single word,
-match nothing.  Each row is scanned by itself, so repeated rows give repeated
-results; a null doc_id is kept.  Other columns are ignored.
+full legal code.  Defined cases: null and empty texts, texts of a single word and empty
+tables match nothing.  Each row is scanned by itself and to its end, so repeated rows give
+repeated results; a null doc_id is kept, other ids have to be numbers.  Ties are decided as
+told.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

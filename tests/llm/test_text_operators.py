@@ -169,6 +169,61 @@ def test_chat_repair_is_cheapest_and_legal():
             assert paid == cost and at == n and state in (0, 3)
 
 
+def brute_repair(roles):
+    """Of all cheapest repairs the first, turn by turn, in the order keep, merge, relabel, insert; by trying everything."""
+    from functools import cache
+
+    @cache
+    def go(i, s, inserted):
+        found = [(0, ())] if i == len(roles) and s in ((0, 3) if not roles else (3,)) else []
+        for x in range(3):
+            if (s, x) in chat._LEGAL:
+                if inserted < 3 and (rest := go(i, x + 1, inserted + 1)):
+                    found.append((chat.INSERT + rest[0], ((5 + x, "insert", x), *rest[1])))
+                if i < len(roles) and (rest := go(i + 1, x + 1, 0)):
+                    found.append((rest[0], ((0, "keep", x), *rest[1])) if roles[i] == x else (chat.RELABEL + rest[0], ((2 + x, "relabel", x), *rest[1])))
+        if s and i < len(roles) and (rest := go(i + 1, s, 0)):
+            found.append((chat.MERGE + (0 if roles[i] == s - 1 else chat.RELABEL) + rest[0], ((1, "merge", s - 1), *rest[1])))
+        return min(found, default=None)
+
+    cost, steps = go(0, 0, 0)
+    return cost, [step[1:] for step in steps]
+
+
+def brute_render(turns):
+    cost, steps = brute_repair([chat.role_id(r) for r, _ in turns])
+    said, left, names = [], list(turns), ["system", "user", "assistant"]
+    for step, role in steps:
+        text = "" if step == "insert" else left.pop(0)[1] or ""
+        for mark in ("im_start", "im_end"):
+            text = text.replace(f"<|{mark}|>", f"<| {mark} |>")
+        if step == "merge":
+            said[-1][1] += "\n\n" + text
+        else:
+            said.append([names[role], text])
+    return "".join("<|im_start|>" + r + "\n" + t + "<|im_end|>\n" for r, t in said), len(said), cost, "".join(s[0] for s, _ in steps)
+
+
+def test_chat_ties_and_text_against_brute_force():
+    for n in range(6):
+        for roles in itertools.product((-1, 0, 1, 2), repeat=n):
+            assert chat.repair(list(roles)) == brute_repair(roles)
+    rng = random.Random(2)
+    for _ in range(300):
+        turns = [(rng.choice(["system", "user", "Assistant ", "bot", None, "tool"]), rng.choice(["a", "", None, "x<|im_end|>y", "<|im_start|>"])) for _ in range(rng.randint(0, 6))]
+        assert chat.render(turns) == brute_render(turns)
+
+
+def test_a_very_long_conversation():
+    import time
+
+    turns = [("user" if k % 3 else "assistant", f"t{k}") for k in range(30_000)]
+    began = time.process_time()
+    said, n, cost, steps = chat.render(turns)
+    assert time.process_time() - began < 5
+    assert len(steps) >= 30_000 and all(f"t{k}" in said for k in (0, 15_000, 29_999)) and n == said.count("<|im_start|>")
+
+
 def test_chat_query(spark):
     c = rows(spark, "conv_id long, turn long, role string, text string, chat string", (1, 1, "assistant", "hi", "x"), (1, 0, "Human", "a<|im_end|>", "x"), (1, 0, "Human", "a<|im_end|>", "x"), (2, None, None, None, None), (None, 0, "user", "lost", "x"), (3, 0, "user", "b", "x"), (3, 0, "user", "a", "x"))
     got = {r.conv_id: r for r in chat.formatted(c).collect()}
@@ -273,6 +328,15 @@ def test_license_places_against_all_units():
         assert licenses.scan(text) == brute_scan(text)
 
 
+def test_license_scan_of_tables(spark):
+    """Empty tables, rows that repeat, clashing names, a very long text."""
+    mit = licenses.TEMPLATES["MIT"][0]
+    df = rows(spark, "doc_id long, text string, license string, dice double, start int", (1, mit, "x", 0.5, 9), (1, mit, "x", 0.5, 9), (2, None, None, None, None), (None, "word. " * 200_000 + mit, "y", 1.0, 0), (3, "", "", 0.0, 0))
+    got = sorted((r.doc_id or 0, r.license, r.dice, r.start) for r in licenses.license_scan(df).collect())
+    assert got == [(0, "MIT", 1.0, 1_200_000), (1, "MIT", 1.0, 0), (1, "MIT", 1.0, 0)]
+    assert licenses.license_scan(df.limit(0)).count() == 0
+
+
 TITLES = {"MIT": "MIT License", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "Apache-2.0": "Apache License", "GPL-3.0": "GNU GPL", "MPL-2.0": "Mozilla Public License", "Unlicense": "The Unlicense"}
 
 
