@@ -227,7 +227,7 @@ def dedupe_drop_count(spark, d):
     return f.agg(F.count("*").alias("n_tasks"), F.count_distinct("f").alias("n_kept")).select("n_tasks", "n_kept", (F.col("n_tasks") - F.col("n_kept")).alias("n_dropped"))
 
 
-@query()
+@query(f"with {TASKS_SQL}, f as (select task_id, sha1(replace({NORM_SQL}, 'ß', 'ss')) as fingerprint from tasks) select min(task_id) as task_id, fingerprint from f group by fingerprint")
 def task_fingerprint_unicode(spark, d):
     return taskpool.kept_fingerprints(fx.tasks(spark, d), grading.fingerprint_col(F.col("prompt")))
 

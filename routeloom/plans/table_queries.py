@@ -11,7 +11,7 @@ from routeloom.functions import text as t
 from routeloom.operators import analysis, collection, reports, rewards, roles, routing, taskpool
 from routeloom.plans import fixtures as fx
 from routeloom.plans.fixtures import AGENTS, CALLS_SQL, REPETITIONS, RM_SQL, TASKS_SQL
-from routeloom.plans.queries import DEDUPED_SQL, WINNERS_SQL, query
+from routeloom.plans.queries import DEDUPED_SQL, VERDICT_SQL, WINNERS_SQL, query
 from routeloom.sources import readers
 
 # Sources and sinks
@@ -284,3 +284,40 @@ def pooled_tokens(spark, d):
     tokens = eight(lambda k: F.slice("embedding", k * 8 + 1, F.lit(8)))
     mask = eight(lambda k: F.when((F.col("vec_id") + k) % 3 == 0, 0).otherwise(1))
     return e.select("vec_id", F.posexplode(routing.masked_mean(tokens, mask)).alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("""with r as (select vec_id, vec_id % 5 as pick, label % 5 as best, (vec_id * 7) % 10 / 10.0::double as other from embeddings),
+a as (select avg(case when pick = best then 1 else other end) as router, avg((1 + 4 * other) / 5) as uniform, avg(greatest(1, other)) as oracle, """ + ", ".join(f"avg(case when best = {k} then 1 else other end) as m{k}" for k in range(5)) + """ from r)
+select round(router, 6) as router, round(uniform, 6) as uniform, round(greatest(m0, m1, m2, m3, m4), 6) as best_fixed, round(oracle, 6) as oracle, router > greatest(m0, m1, m2, m3, m4) as beats_best_fixed from a""")
+def head_picks(spark, d):
+    """The report of a head's picks over all embeddings; here a pick is told by the id."""
+    other = (F.col("vec_id") * 7) % 10 / F.lit(10.0)
+    e = fx.table(spark, d, "embeddings").select((F.col("vec_id") % 5).cast("int").alias("pick"), F.array(*(F.when(F.col("label") % 5 == k, 1.0).otherwise(other) for k in range(5))).alias("rewards"))
+    return routing.head_summary(e, 5).select(*(F.round(c, 6).alias(c) for c in ("router", "uniform", "best_fixed", "oracle")), "beats_best_fixed")
+
+
+@query(f"""with {VERDICT_SQL} select '| ' || metric || ' | ' || printf('%.4f', value) || ' | ' || printf('%.2f', continue_at) || ' | ' || printf('%.2f', stop_at) || ' | ' || case verdict when 'continue' then 'PASS' when 'warn' then 'WARN' when 'missing' then 'MISSING' else 'FAIL' end || ' |' as line from ver
+union all select '| ' || agent || ' | ' || printf('%.4f', n_correct / (n_tasks * 3)) || ' | ' || printf('%.1f', 100 * unique_wins / n_tasks) || '% | ' || printf('%.1f', 100 * n_empty / n_calls) || '% | ' || printf('%.1f', 100 * n_error / n_calls) || '% | ' || median_latency_ms || ' |' from pa join med using (agent)
+union all select 'Collection cost ' || printf('%.4f', value) || ' USD.' from metrics where metric = 'total_cost_usd'""")
+def health_lines(spark, d):
+    """Gates, agents and cost in the report of health."""
+    calls = fx.calls(spark, d)
+    rm = rewards.reward_matrix(calls, AGENTS)
+    datasets = fx.table(spark, d, "documents").select("doc_id", F.col("source").alias("dataset"))
+    flat = analysis.health(rm, datasets, REPETITIONS)
+    verdicts = analysis.gate_verdicts(analysis.long_metrics(flat), fx.gates(spark))
+    text = reports.health_report(analysis.per_agent(rm, calls, REPETITIONS), verdicts, analysis.dataset_accuracy(rm, datasets, REPETITIONS), cost_usd=flat.first().total_cost_usd)
+    rows = [x for x in text.splitlines() if x.startswith(("| ", "Collection"))]
+    own = [x for x in rows if x.startswith("Collection") or x.split(" | ")[0][2:] in (*AGENTS, *(g[0] for g in fx.GATES))]
+    return spark.createDataFrame([(x,) for x in own], "line string")
+
+
+@query(f"with {TASKS_SQL} " + " union all ".join(f"select '| ' || {c} || ' | ' || count(*) || ' |' as line from tasks group by {c}" for c in ("dataset", "domain", "difficulty")))
+def card_lines(spark, d):
+    """Breakdowns on the card of published rewards."""
+    facets = taskpool.facets(fx.tasks(spark, d), ("dataset", "domain", "difficulty"))
+    from routeloom.operators import publish
+
+    text = reports.rewards_card("Rewards", facets, publish.agent_manifest(fx.agents(spark, d)), 0)
+    lines = text[text.index("## Distribution") :].splitlines()
+    return spark.createDataFrame([(x,) for x in lines if x.startswith("| ") and not x.endswith("rows |") and not x.startswith("| ---")], "line string")
