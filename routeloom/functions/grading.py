@@ -83,15 +83,46 @@ def grade(name: str, response: str | None, answer: str) -> Graded:
     return _GRADERS[name](response, answer)
 
 
+#: In place of a grader's name: this row has been graded by Columns.
+_DONE = "\0"
+
+
 def grade_col(name: Column, response: Column, answer: Column) -> Column:
-    """STRUCT(extracted, correct), graded by Arrow batch.  Register own graders in a module that executors import."""
+    """STRUCT(extracted, correct).  Letters and numbers of plain replies are graded by Spark's own functions, the rest by Arrow batch.
+
+    Register own graders in a module that executors import.
+    """
 
     @F.pandas_udf("extracted string, correct boolean")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for names, responses, answers in batches:
-            yield pd.DataFrame([grade(*x) for x in zip(names, responses, answers)], columns=["extracted", "correct"])
+            yield pd.DataFrame([(None, False) if n == _DONE else grade(n, r, a) for n, r, a in zip(names, responses, answers)], columns=["extracted", "correct"])
+
+    plain = F.coalesce(t.is_plain(response) & t.is_plain(answer) & name.isin(*PLAIN_GRADERS), F.lit(False))
+    graded = run(F.when(plain, _DONE).otherwise(name), F.when(~plain, response), F.when(~plain, answer))
+    own = lambda g: PLAIN_GRADERS[g](response, answer)
+    return F.when(~plain, graded).when(name == "mcq_letter", own("mcq_letter")).otherwise(own("numeric_match"))
+
+
+def _struct(response: Column, got: Column, correct: Column) -> Column:
+    blank = F.trim(response) == ""
+    return F.struct(F.when(~blank, got).alias("extracted"), F.coalesce(~blank & got.isNotNull() & correct, F.lit(False)).alias("correct"))
+
+
+def _plain_letter(response: Column, answer: Column) -> Column:
+    got = t.choice_col(response)
+    return _struct(response, got, got == F.upper(t.stripped_col(answer)))
+
+
+def _plain_number(response: Column, answer: Column) -> Column:
+    got = t.figure_col(response)
+    a, b = t.number_col(got), t.number_col(answer)
+    same = t.normalize_text_col(got) == t.normalize_text_col(answer)
+    return _struct(response, got, F.when(a.isNull() | b.isNull(), same).otherwise(t.close_col(a, b)))
+
 
-    return run(name, response, answer)
+#: Graders that Columns can express for plain replies.
+PLAIN_GRADERS: dict[str, Callable[[Column, Column], Column]] = {"mcq_letter": _plain_letter, "numeric_match": _plain_number}
 
 
 def text_col(f: Callable[[str], str | None], value: Column) -> Column:

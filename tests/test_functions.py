@@ -1,5 +1,7 @@
 """Normalisation, extraction, grading and option letters, as functions and as columns."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,19 @@ def test_columns_agree_with_functions(spark):
         assert r.n == t.normalize_number(r.x)
 
 
+def test_plain_replies_are_graded_alike(spark):
+    """Spark's own graders against the Python ones, on replies put together from all that they look at, and on others that aren't plain."""
+    rng = random.Random(7)
+    pool = ["Answer: ", "answer is ", "FINAL  answer:", "cevap - ", "<answer>", "</answer>", "<think>", "</think>", "#### ", "1,234.5", "-7", "(12)", "B", "c ", "I", "\n", "\r\n", "\r", " ", "\t", "$", "%", ".", "half", "3", "1e3", "x", "_", "k.", "Answer -5", "é", "\\boxed{", "inf", "J,", "(E)"]
+    rows = [(k, g, "".join(rng.choices(pool, k=rng.randint(0, 8))), "".join(rng.choices([*pool[9:15], "C", " j ", "half", "HALF.", "12", "1000"], k=rng.randint(0, 2)))) for k in range(1500) for g in ("mcq_letter", "numeric_match")]
+    df = spark.createDataFrame(rows, "k int, g string, r string, a string")
+    c = F.col
+    got = df.select("k", "g", "r", "a", grading.grade_col(c("g"), c("r"), c("a")).alias("x"), (t.is_plain(c("r")) & t.is_plain(c("a"))).alias("plain")).collect()
+    for r in got:
+        assert tuple(r.x) == grading.grade(r.g, r.r, r.a), (r.g, r.r, r.a, r.plain)
+    assert 0.3 < sum(r.plain for r in got) / len(got) < 0.9
+
+
 OPTIONS = ["red", "green", "blue", " grey "]
 
 
