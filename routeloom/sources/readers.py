@@ -144,10 +144,12 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="routeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+    own = f"{root.rstrip('/')}/routeloom-work-{spark.sparkContext.applicationId}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)  # only what is there can be marked for deletion
+    fs.deleteOnExit(p)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def digest_col(text: Column) -> Column:
