@@ -34,6 +34,7 @@ def shared(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     own = f"{root.rstrip('/')}/routeloom-{spark.sparkContext.applicationId}"
     path, fs = _path(spark, own)
+    fs.mkdirs(path)  # only what is there can be marked for deletion
     fs.deleteOnExit(path)
     return f"{own}/{name}-{uuid.uuid4().hex}"
 

@@ -99,7 +99,7 @@ def test_what_queries_leave_behind(spark):
         there = {x.rsplit("-", 1)[0] for x in os.listdir(folder())} if os.path.isdir(folder()) else set()
         assert there <= most.get(name, {"pipeline-mix"} if name == "pipeline" else set()), name
     tables.clear(spark)
-    assert not os.path.exists(folder())
+    assert os.listdir(folder()) == []
 
 
 def test_a_cluster_needs_a_shared_folder(monkeypatch):
