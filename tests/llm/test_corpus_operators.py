@@ -77,8 +77,71 @@ def test_join_against_brute_force(spark, corpus, n, t):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_all_pairs_equal_their_sql(spark, corpus):
+    import duckdb
+    import pandas as pd
+
+    docs = [d for d in corpus if d[1] is None or len(d[1]) < 5000] + [(12, "another text of document twelve"), (900, "another text of document twelve")]
+    con = duckdb.connect()
+    con.register("d", pd.DataFrame({"doc_id": pd.array([d[0] for d in docs], "Int64"), "text": [d[1] for d in docs]}))
+    con.execute("create view documents as select * from d")
+    for n, t in ((2, 0.6), (1, 0.3)):
+        got = sorted(tuple(r) for r in ngram_join.all_pairs(frame(spark, docs), n, t).collect())
+        assert got == sorted(con.sql(ngram_join.oracle_all(n, t)).fetchall()) and len(got) > 100
+
+
+@pytest.mark.parametrize("common,pack,parts", [(2, 300, 50), (1, 10**6, 10**7), (8, 20, 2000), (10**9, 500, 100)])
+def test_common_grams_and_small_packs_change_nothing(spark, corpus, monkeypatch, common, pack, parts):
+    """A gram that all documents have, packs and parts of all sizes."""
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "PACK", pack)
+    monkeypatch.setattr(ngram_join, "POSTINGS", 2000)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 0 if common == 1 else 1 << 28)
+    docs = [(d, f"every one {t}") for d, t in corpus if t and len(t) < 5000]
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.similar_pairs(frame(spark, docs), 2, 0.6, parts).collect()}
+    want = brute_pairs(docs, 2, 0.6)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_a_gram_of_all_documents_fills_no_part():
+    g = np.concatenate([np.array([7 << 40, (k + 1) << 43], np.uint64) for k in range(5000)])
+    rare, blob, many = ngram_join.pack_common(g, np.repeat(np.arange(5000, dtype=np.uint16), 2), 16)
+    assert rare.sum() == 5000 and sum(len(b) for _, b in many) < 20  # one gram and its number
+    ids, counts, owners = ngram_join.unpack_common(blob, 16)
+    assert ids.tolist() == [7 << 40] and counts.tolist() == [5000] and owners.tolist() == list(range(5000))
+
+
+def test_the_filter_of_contents_keeps_its_own(spark):
+    rng = np.random.default_rng(3)
+    some = rng.integers(-(1 << 62), 1 << 62, 3000)
+    df = spark.createDataFrame([(int(c), k) for k, c in enumerate(some)], "content long, k int")
+    for n in (0, 1000):
+        own = df.where(f"k < {n}").select("content")
+        kept = {r.k for r in ngram_join.in_candidates(df, own, n).collect()}
+        assert set(range(n)) <= kept and len(kept) < n + 200
+
+
+def test_suffix_filter_never_loses_a_pair():
+    rng = np.random.default_rng(6)
+    tight = 0
+    for _ in range(400):
+        pool = rng.integers(0, rng.choice([40, 10**6]), 60).astype(np.uint64)
+        x, y = (np.unique(rng.choice(pool, rng.integers(0, 50))) for _ in range(2))
+        bound, both = ngram_join.suffix_bound(x, y), len(np.intersect1d(x, y))
+        assert both <= bound <= min(len(x), len(y))
+        tight += bound < min(len(x), len(y))
+    assert tight > 100
+
+
+def test_sizes_follow_the_memory_of_a_core():
+    conf = lambda **x: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: x.get(k.rsplit(".", 1)[1], d)))
+    assert ngram_join.scale(conf()) == ngram_join.scale(conf(memory="1800m", cores="2")) == 1
+    assert ngram_join.scale(conf(memory="36000m", cores="4")) == 10 and ngram_join.scale(conf(memory="900", cores="1")) == 1
+
+
 def test_join_of_few_or_no_rows(spark, corpus):
     assert ngram_join.similar_pairs(frame(spark, corpus).limit(0)).count() == 0
+    assert ngram_join.one_of_each_group(frame(spark, corpus).limit(0)).count() == 0
     assert ngram_join.similar_pairs(frame(spark, [(1, None), (2, ""), (3, "a b c"), (4, "d e f")])).count() == 0
     with pytest.raises(ValueError):
         ngram_join.similar_pairs(frame(spark, corpus), 2, 0)

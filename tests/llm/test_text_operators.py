@@ -6,7 +6,6 @@ import re
 import textwrap
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
