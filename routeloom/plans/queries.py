@@ -479,7 +479,18 @@ def catalog_proposal(spark, d):
     return catalog.proposals(_catalog(spark, d))
 
 
-@query()
+_PICK_SQL = f"""with recursive {CATALOG_SQL}, r as (select *, row_number() over (partition by slot order by k, k2, k3, slug) as rank from s),
+slots(i, slot) as (values {", ".join(f"({i}, '{slot}')" for i, slot in enumerate(catalog.SLOTS, 1))}),
+cand as (select i, slot, list(slug order by rank) filter (rank <= {catalog.TOP}) as slugs, list(vendor order by rank) filter (rank <= {catalog.TOP}) as vendors from slots left join r using (slot) group by 1, 2),
+walk as (select 0 as i, '' as slot, null::varchar as slug, []::varchar[] as used, null::bigint as pair
+  union all select n.i, n.slot, n.slugs[n.at], case when n.pairs or n.at is null then n.used else list_append(n.used, n.vendors[n.at]) end, case when n.slot = '{catalog.PAIR[0]}' then n.at else n.pair end
+  from (select c.*, w.used, w.pair, c.slot = '{catalog.PAIR[1]}' and w.pair is not null as pairs,
+    case when c.slot = '{catalog.PAIR[1]}' and w.pair is not null then w.pair else coalesce(list_filter(range(1, len(c.slugs) + 1), lambda x: not list_contains(w.used, c.vendors[x]))[1], case when len(c.slugs) > 0 then 1 end) end as at
+    from walk w join cand c on c.i = w.i + 1) n)
+select slot, slug from walk where slug is not null"""
+
+
+@query(_PICK_SQL)
 def catalog_pick(spark, d):
     ranked = [tuple(r) for r in catalog.proposals(_catalog(spark, d)).collect()]  # at most TOP rows a slot
     return spark.createDataFrame(sorted(catalog.distinct_vendors(ranked).items()), "slot string, slug string")
