@@ -240,6 +240,16 @@ def test_a_historical_winner_beats_a_smaller_new_id(spark):
     assert got == {(1, 8), (8, 8), (9, 8), (2, 2), (3, 2)}
 
 
+def test_exact_copies_of_one_table(spark, corpus):
+    """Both halves of the ids together: every text's winner is its least id."""
+    first = {}
+    for d, t in sorted((d, t) for d, t in corpus if d is not None and t is not None):
+        first.setdefault(t, d)
+    got = Counter((r.doc_id, r.winner_id, r.is_copy) for r in exact_dedup.exact_copies(frame(spark, corpus)).collect())
+    assert got == Counter({(d, first[t], d != first[t]) for d, t in corpus if d is not None and t is not None})
+    assert exact_dedup.exact_copies(frame(spark, corpus).limit(0)).count() == 0
+
+
 def test_without_copies(spark, corpus):
     df = frame(spark, corpus)
     kept = exact_dedup.without_copies(df)
@@ -522,6 +532,25 @@ def test_thresholds_of_languages():
     assert "xx" not in m.thresholds
 
 
+def test_near_copies_of_a_sample_against_brute_force():
+    rng = random.Random(5)
+    texts = []
+    for _ in range(120):
+        w = (rng.choice(texts) if texts and rng.random() < 0.6 else " ".join(rng.choices("abcdefghij", k=rng.randint(0, 12)))).split()
+        if w and rng.random() < 0.5:
+            w[rng.randrange(len(w))] = "z"
+        texts.append(" ".join(w))
+    hashes = tk.tokens(pa.array(texts)).each()
+    keys, want = [], []
+    for h in hashes:
+        g = [int(x) for x in tk.ngrams(h, 3)]
+        own = (min(g), min(int(tk.mix(np.array([x ^ toxicity.SEED], np.uint64))[0]) for x in g)) if g else None
+        want.append(own is None or not any(own[0] == k[0] or own[1] == k[1] for k in keys))
+        if own:
+            keys.append(own)
+    assert toxicity.without_near_copies(hashes).tolist() == want and not all(want)
+
+
 def test_every_language_is_calibrated_on_held_out_documents():
     rng = random.Random(3)
     own = {"en": ["vile", "awful"], "de": ["übel", "mies"], "fr": ["vilain", "nul"]}
