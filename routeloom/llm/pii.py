@@ -70,6 +70,10 @@ _PLAIN_HOST = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.{_TLD}(?![\w-]|\.\w)", re.I
 #: Of a text read backwards: the words and dots of a name.
 _EMAN = re.compile(r"[\w+%-]++(?:(?:\.|\s?[\])}>]\s?(?:tod|otnup|tniop|tknup|\.)\s?[\[({<]\s?|\s++tod\s++)[\w+%-]++)*+", re.I)
 _DOT_PART = re.compile(_DOT, re.I)
+_BRACKETED = re.compile(rf"[\[({{<]\s?(?:at|arroba|chez)\s?[\])}}>]", re.I)
+_BEHIND_AT = re.compile(rf"\s++(?:{_BARE_HOST.pattern}|{_PLAIN_HOST.pattern})", re.I)
+_WORDS = re.compile(r"\w+")
+_NAMED = ("token", "secret", "passw", "key")
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]++(?:\.[\w+%-]++)*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*+)\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")
@@ -121,7 +125,29 @@ def homoglyphs(v: View) -> View:
     return v.replaced([(m.start(), m.end(), "") for m in _UNSEEN.finditer(v.text)])
 
 
+def _spells(text: str) -> bool:
+    """Whether four words in a row are digits: without, nothing is spelled."""
+    return "1111" in "".join("1" if w in _DIGITS or (len(w) == 1 and w.isdecimal()) else "0" for w in _WORDS.findall(text.lower()))
+
+
+def _addresses(text: str) -> bool:
+    """Whether anything may stand for the sign of an address: a look at each "at" in place of a search for all forms."""
+    if "@" in text or (any(c in text for c in "[({<") and _BRACKETED.search(text)):
+        return True
+    low = text.lower()
+    if len(low) != len(text):
+        return True
+    k = low.find("at")
+    while k >= 0:
+        if low[k - 1 : k].isspace() and low[k + 2 : k + 3].isspace() and _BEHIND_AT.match(text, k + 2):
+            return True
+        k = low.find("at", k + 2)
+    return False
+
+
 def spelled_digits(v: View) -> View:
+    if not _spells(v.text):
+        return v
     edits = []
     for m in _SPELLED.finditer(v.text):
         pieces = [(p.start() + m.start(), p.end() + m.start(), p[0]) for p in _PIECE.finditer(m[0])]
@@ -148,6 +174,8 @@ def _name_start(text: str, back: str, stop: int) -> int:
 
 
 def at_and_dot(v: View) -> View:
+    if not _addresses(v.text):
+        return v
     text, back, edits, done = v.text, None, [], 0
     for at in _AT.finditer(text):
         if at.start() < done:
@@ -197,7 +225,9 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             n, plain = sum(c.isdigit() for c in m[0]), m[0].isdigit()
             if (m[0][0] == "+" and 8 <= n <= 15) or (not plain and 9 <= n <= 15) or (plain and 10 <= n <= 11):
                 found.append((m.start(), m.end(), "phone"))
-    found += [(m.start(1), m.end(1), "secret") for m in _KEY.finditer(text)]
+    low = text.lower()
+    if any(x in low for x in _NAMED):
+        found += [(m.start(1), m.end(1), "secret") for m in _KEY.finditer(text)]
     found.sort(key=lambda x: (KINDS.index(x[2]), x[0] - x[1], x[0]))
     taken, kept = bytearray(len(text)), []
     for a, b, kind in found:
