@@ -39,7 +39,8 @@ BUCKETS = 1000
 
 
 def n_tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+    """Runs of characters other than blanks; each becomes one letter, as regexp_count holds all of a text's runs at once."""
+    return F.coalesce(F.length(F.ltrim(F.regexp_replace(text, r"\S+\s*", "x"), F.lit(" \t\n\x0b\f\r"))), F.lit(0)).cast("long")
 
 
 def at_least(weight: Column) -> Column:

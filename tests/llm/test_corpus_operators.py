@@ -10,6 +10,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from routeloom.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, toxicity
 from routeloom.llm import textkit as tk
@@ -431,6 +432,13 @@ def test_mixing_against_brute_force(spark, targets, total):
     assert got == want
 
 
+def test_tokens_are_counted_without_a_list_of_them(spark):
+    texts = [None, "", " ", "a", " a", "a ", "\x0b\f\r\n\ta  b\x1cc \u00a0 d\u2003e\r\n", "x " * 5000, "ä\tö"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", mixing.n_tokens(F.col("text")).alias("n"))
+    assert [r.n for r in got.orderBy("k").collect()] == [len(re.findall(r"\S+", t or "", re.ASCII)) for t in texts]
+    assert "regexp_extract_all" not in got._jdf.queryExecution().toString()
+
+
 def test_mixing_an_empty_table(spark):
     from pyspark.sql import functions as F
 
