@@ -25,7 +25,10 @@ Documents of equal token sequence ("copies") are one content while the join
 runs.  ``similar_pairs`` lists each copy against the least doc_id of its content
 (jaccard 1), and each similar pair of contents by their least doc_ids; all
 other pairs follow from these, and the result stays linear in the copies.
-``all_pairs`` lists them all.
+``all_pairs`` lists them all.  ``classes``, the query, has one row a document instead: its class
+(documents that are connected by similar ones), told by its least doc_id, and how many
+documents are similar to it, copies counted each.  All candidate pairs of contents are verified
+for that, but none leaves its task: rows and what is shuffled behind it grow with the documents.
 
 Defined cases: null or empty texts, and texts without any letter or digit,
 have no grams and no partners.  Texts shorter than n tokens are one gram; texts of any
@@ -33,7 +36,9 @@ length are compared whole.  A coefficient equal to the threshold is a match.
 Rows with a null doc_id are left out, and other ids have to be numbers; rows that repeat
 a doc_id with the same text count once; a doc_id with several texts is compared under each
 of them, with a row for each of them, never with itself.  Other columns, whatever their
-names, are ignored.  Empty tables give no rows.
+names, are ignored.  Empty tables give no rows.  For ``classes`` a document without grams
+is a class of its own without links; a doc_id with several texts is one document, with the
+links of each of its texts, to one another too, in one class with all that they are similar to.
 """
 
 from __future__ import annotations
@@ -59,8 +64,10 @@ THRESHOLD = 0.6
 PART_BYTES, PACK, MEMORY = 8_000_000, 1_000_000, 900 << 20
 #: Documents of a pack from which on a gram's documents aren't sent to be counted, but their number.
 COMMON = 8
-#: Bytes of postings that are joined by one task, and candidate pairs that one verifies.
-POSTINGS, PAIRS = 24_000_000, 100_000
+#: Bytes of postings that are joined by one task, candidate pairs that one verifies, and those of one label that one may get.
+POSTINGS, PAIRS, TOGETHER = 24_000_000, 100_000, 1_000_000
+#: Pairs that are made distinct at a time, and those of one label from which on overlaps are counted by bits, in so many cells at a time.
+GATHERED, DENSE, BITS = 3_000_000, 16, 1 << 24
 #: Cells of the histogram, and pieces of the suffix filter.
 CELLS, PIECES = 32, 8
 #: Bits of the filter by which sets of contents without candidates are kept from being shuffled: 16 a content, in slices.  Where
@@ -301,15 +308,15 @@ def shared_grams(docs: DataFrame, n: int, share: Fraction, parts: int, size_of_p
 
 
 def postings(sets: DataFrame, parts: int) -> DataFrame:
-    """(part, posts): blobs of (gram, content, size and position) of the shared grams in prefixes."""
+    """(part, posts): blobs of (gram, content, size and position, the shared gram before or 0) of the shared grams in prefixes."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [np.zeros((0, 3), U64)]
+            held = [np.zeros((0, 4), U64)]
             for c, m, p, blob in zip(*(b.column(x).to_pylist() for x in ("content", "size", "indexed", "grams"))):
                 g = unpack_set(blob)
-                x = np.empty((p, 3), U64)
-                x[:, 0] = g[:p]
+                x = np.zeros((p, 4), U64)
+                x[:, 0], x[1:, 3] = g[:p], g[: p - 1]
                 x[:, 1] = np.int64(c).view(U64)
                 x[:, 2] = (m << 32) + m - len(g) + np.arange(p)
                 held.append(x)
@@ -320,8 +327,11 @@ def postings(sets: DataFrame, parts: int) -> DataFrame:
     return sets.select("content", "size", "indexed", "grams").mapInArrow(index, "part int, posts binary")
 
 
-def join_postings(x: np.ndarray, share: Fraction) -> np.ndarray:
-    """Candidate pairs (lower, higher content) of postings, by the length, prefix and positional filters."""
+def join_postings(x: np.ndarray, share: Fraction) -> Iterator[np.ndarray]:
+    """Candidate pairs (lower, higher content) of postings, by the length, prefix and positional filters; distinct within each array.
+
+    Two contents with the same gram before this one have met there, so a pair comes once for each run of grams that it shares.
+    """
     num, den = share.numerator, share.denominator
     x = x[np.argsort(x[:, 0], kind="stable")]
     same = x[1:, 0] == x[:-1, 0]
@@ -330,13 +340,12 @@ def join_postings(x: np.ndarray, share: Fraction) -> np.ndarray:
     if len(x):
         new = np.append(True, (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1]))
         x = x[new]  # copies
-    gram, content = x[:, 0], x[:, 1]
+    gram, content, before = x[:, 0], x[:, 1], x[:, 3]
     size, pos = (x[:, 2] >> U64(32)).astype(np.int64), (x[:, 2] & U64(0xFFFFFFFF)).astype(np.int64)
     # the shorter of a pair meets the longer within its first m - ceil(2t/(1+t) m) + 1 grams
     near = size - ceil_of(Fraction(2 * num, num + den), size) + 1
     at = np.flatnonzero(pos < near)
-    out = [np.zeros((0, 2), U64)]
-    gathered = 0
+    out, gathered = [], 0
     d = 1
     while len(at):
         at = at[at + d < len(x)]
@@ -345,15 +354,17 @@ def join_postings(x: np.ndarray, share: Fraction) -> np.ndarray:
         at, j = at[alive], j[alive]
         need = -(-num * (size[at] + size[j]) // (num + den))
         ok = np.minimum(size[at] - pos[at], size[j] - pos[j]) >= need  # a pair has to be found at its first common gram only
+        ok &= (before[at] != before[j]) | (before[at] == 0)
         a, b = content[at[ok]], content[j[ok]]
         pair = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
         out.append(pair)
         gathered += len(pair)
-        if gathered > 3_000_000:
-            out = [distinct(np.concatenate(out))]
-            gathered = len(out[0])
+        if gathered > GATHERED:
+            yield distinct(np.concatenate(out))
+            out, gathered = [], 0
         d += 1
-    return distinct(np.concatenate(out))
+    if gathered:
+        yield distinct(np.concatenate(out))
 
 
 def distinct(pairs: np.ndarray) -> np.ndarray:
@@ -364,10 +375,10 @@ def distinct(pairs: np.ndarray) -> np.ndarray:
 def candidates(posts: DataFrame, share: Fraction, parts: int) -> DataFrame:
     """(label, part, n, pairs): blobs of n distinct candidate pairs (lower, higher content) whose higher contents have the same least partner, the label."""
 
-    def meet(t: pa.Table) -> pa.Table:
-        pairs = join_postings(_blobs(t, "posts", 3), share)
-        rows = [(p, pairs[r].tobytes()) for p, r in _split(tk.mix(pairs[:, 1]), parts)] if len(pairs) else []
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pairs in join_postings(np.concatenate([_blobs(b, "posts", 4) for b in batches]), share):
+            rows = [(p, pairs[r].tobytes()) for p, r in _split(tk.mix(pairs[:, 1]), parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "pairs"])
 
     def once(t: pa.Table) -> pa.Table:
         pairs = distinct(_blobs(t, "pairs", 2))
@@ -445,17 +456,63 @@ def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(own, other).sum())
 
 
-def verify(pairs: DataFrame, sets: DataFrame, least: DataFrame, share: Fraction) -> DataFrame:
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many grams the sets x[k] and y[k] have in common: one bit for each gram that several sets have."""
+    grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+    _, column, many = np.unique(grams, return_inverse=True, return_counts=True)
+    some = many[column] > 1
+    column, owner = (np.cumsum(many > 1) - 1)[column[some]], owner[some]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    wide = int((many > 1).sum())
+    both, step = np.zeros(len(x), np.int64), max(64, BITS // len(sets) // 64 * 64)
+    for at in range(0, wide, step):
+        a, b = np.searchsorted(column, [at, at + step])
+        cells = np.zeros((len(sets), -(-min(step, wide - at) // 64) * 64), bool)
+        cells[owner[a:b], column[a:b] - at] = True
+        bits = np.packbits(cells, axis=1).view(U64)
+        n = max(1, 500_000 // bits.shape[1])
+        for k in range(0, len(x), n):
+            both[k : k + n] += np.bitwise_count(bits[x[k : k + n]] & bits[y[k : k + n]]).sum(axis=1, dtype=np.int64)
+    return both
+
+
+def overlap(p: np.ndarray, q: np.ndarray, least: int) -> int:
+    """How many grams two sorted sets have in common; 0 if the suffix filter tells that there are less than ``least``."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p) or suffix_bound(p, q) < least:
+        return 0
+    i = np.searchsorted(q, p)
+    i[i == len(q)] = 0
+    return int((q[i] == p).sum())
+
+
+def roots_of(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least id that each row is connected to by the pairs (x[k], y[k])."""
+    root = ids.copy()
+    while True:
+        before, least = root.copy(), np.minimum(root[x], root[y])
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        if (root == before).all():
+            return root
+
+
+def verify(pairs: DataFrame, sets: DataFrame, least: DataFrame, share: Fraction, counted: bool = False) -> DataFrame:
     """(doc_a, doc_b, jaccard) of the candidates at or above the threshold; least has (content, digest, least).
 
+    ``counted``: instead, for each content and label, (content, digest, least, root, links): the least id that its pairs of the label
+    connect it to, and how many documents its partners there have, which least then tells as ``many``.  No pair leaves its task.
+
     A cluster's pairs mostly share a label and go to one part, so its contents' grams travel once; large clusters are spread over several parts.
     """
     num, den = share.numerator, share.denominator
-    spread = pairs.groupBy("label").agg(F.ceil(F.sum("n") / PAIRS).alias("ways"))
+    spread = pairs.groupBy("label").agg(F.ceil(F.sum("n") / TOGETHER).alias("ways"))
     total = pairs.agg(F.sum("n")).first()[0] or 0
     parts = max(12, math.ceil(total / PAIRS) * 4)
     put = F.pmod(F.xxhash64("label", F.pmod("part", F.col("ways"))), F.lit(parts)).cast("int")
-    placed = pairs.join(spread, "label").select(put.alias("part"), "pairs")
+    placed = pairs.join(spread, "label").select(put.alias("part"), "label", "pairs")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -463,40 +520,62 @@ def verify(pairs: DataFrame, sets: DataFrame, least: DataFrame, share: Fraction)
                 c = np.unique(np.frombuffer(blob, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), part, np.int32)), pa.array(c)], ["place", "content"])
 
-    wanted = stored(placed.mapInArrow(ends, "place int, content long").distinct(), "wanted")
+    wanted = stored(placed.select("part", "pairs").mapInArrow(ends, "place int, content long").distinct(), "wanted")
     own = stored(wanted.select("content").distinct(), "contents")
     once = in_candidates(sets, own, own.count()).groupBy("content", "digest").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
     # grams are shuffled twice, by content and by place; what is joined to them is narrow
-    there = once.join(wanted.join(least, "content"), ["content", "digest"]).select("place", "content", "least", "size", "grams")
+    there = once.join(wanted.join(least, "content"), ["content", "digest"]).select("place", "content", "digest", "size", "grams", "least", *["many"] * counted)
+
+    def matches(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of right, and how many grams they have in common, by label."""
+        content, ids, size = (right.column(c).to_numpy().astype(np.int64) for c in ("content", "least", "size"))
+        grams = [np.sort(unpack_set(g)) for g in right.column("grams").to_pylist()]
+        order = np.argsort(content, kind="stable")
+        of = content[order]
+        labels, blobs = left.column("label").to_numpy(), left.column("pairs").to_pylist()
+        by_label = np.argsort(labels, kind="stable")
+        for rows in np.split(by_label, np.flatnonzero(np.diff(labels[by_label])) + 1):
+            ab = np.frombuffer(b"".join(blobs[r] for r in rows), np.int64).reshape(-1, 2)
+            # contents with equal ids are told apart by their digests: all of them are compared
+            x, y = ab[:, 0], ab[:, 1]
+            from_x, from_y = (np.searchsorted(of, c) for c in (x, y))
+            many_x, many_y = (np.searchsorted(of, c, "right") - f for c, f in ((x, from_x), (y, from_y)))
+            ways = many_x * many_y
+            pair = np.repeat(np.arange(len(ab)), ways)
+            nth = np.arange(len(pair)) - np.repeat(np.cumsum(ways) - ways, ways)
+            x, y = order[from_x[pair] + nth // many_y[pair]], order[from_y[pair] + nth % many_y[pair]]
+            need = -(-num * (size[x] + size[y]) // (num + den))
+            if len(x) < DENSE:
+                both = np.array([overlap(grams[i], grams[j], n) for i, j, n in zip(x, y, need)], np.int64)
+            else:
+                used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                both = overlaps([grams[k] for k in used], at[: len(x)], at[len(x) :])
+            hit = both >= need
+            if not counted:
+                hit &= ids[x] != ids[y]
+            yield x[hit], y[hit], both[hit]
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        at: dict[int, list[int]] = {}
-        for k, c in enumerate(right.column("content").to_pylist()):
-            at.setdefault(c, []).append(k)
-        ids = right.column("least").to_pylist()
-        grams = [np.sort(unpack_set(x)) for x in right.column("grams").to_pylist()]
-        size = right.column("size").to_numpy().astype(np.int64)
-        cells = np.zeros((len(grams), CELLS), np.int32)
-        for k, g in enumerate(grams):
-            cells[k] = np.bincount((g % U64(CELLS)).astype(np.int64), minlength=CELLS)
-        pair = [(x, y) for a, b in _blobs(left, "pairs", 2).view(np.int64).tolist() for x in at.get(a, ()) for y in at.get(b, ()) if ids[x] != ids[y]]
-        out: list[tuple[int, int, float]] = []
-        for k in range(0, len(pair), 50_000):
-            xy = np.array(pair[k : k + 50_000], np.int64)
-            need = -(-num * (size[xy[:, 0]] + size[xy[:, 1]]) // (num + den))
-            # a cell of grams adds at most its smaller count to the overlap
-            most = np.minimum(cells[xy[:, 0]], cells[xy[:, 1]]).sum(axis=1)
-            for (x, y), least in zip(xy[most >= need], need[most >= need]):
-                p, q = (grams[x], grams[y]) if len(grams[x]) <= len(grams[y]) else (grams[y], grams[x])
-                if suffix_bound(p, q) < least:
-                    continue
-                i = np.searchsorted(q, p)
-                i[i == len(q)] = 0
-                both = int((q[i] == p).sum())
-                if both >= least:
-                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y]), both / float(size[x] + size[y] - both)))
-        return pa.table({"doc_a": pa.array([r[0] for r in out], pa.int64()), "doc_b": pa.array([r[1] for r in out], pa.int64()), "jaccard": pa.array([r[2] for r in out], pa.float64())})
-
+        ids, size = (right.column(c).to_numpy().astype(np.int64) for c in ("least", "size"))
+        out = [(ids[x], ids[y], both / (size[x] + size[y] - both)) for x, y, both in matches(left, right)] if left.num_rows and right.num_rows else []
+        a, b, j = (np.concatenate([np.zeros(0, kind), *(r[k] for r in out)]) for k, kind in enumerate((np.int64, np.int64, float)))
+        return pa.table({"doc_a": np.minimum(a, b), "doc_b": np.maximum(a, b), "jaccard": j})
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            ids, many = (right.column(c).to_numpy().astype(np.int64) for c in ("least", "many"))
+            for x, y, _ in matches(left, right):
+                rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                x, y = at[: len(x)], at[len(x) :]
+                links = np.bincount(x, many[rows[y]], len(rows)) + np.bincount(y, many[rows[x]], len(rows))
+                out.append((rows, roots_of(ids[rows], x, y), links.astype(np.int64)))
+        rows, root, links = (np.concatenate([np.zeros(0, np.int64), *(r[k] for r in out)]) for k in range(3))
+        told = right.select(["content", "digest", "least"]).take(pa.array(rows))
+        return told.append_column("root", pa.array(root)).append_column("links", pa.array(links))
+
+    if counted:
+        return placed.groupBy("part").cogroup(there.groupBy("place")).applyInArrow(count, "content long, digest binary, least long, root long, links long")
     return placed.groupBy("part").cogroup(there.groupBy("place")).applyInArrow(check, "doc_a long, doc_b long, jaccard double")
 
 
@@ -522,7 +601,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, part_bytes: int | None) -
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (part_bytes or PART_BYTES * by)))
     sets = stored(shared_grams(docs, n, share, parts, int(PACK * by)), "shared-grams")
-    meeting = max(12, math.ceil((sets.agg(F.sum("indexed")).first()[0] or 0) * 24 / (POSTINGS * by)))
+    meeting = max(12, math.ceil((sets.agg(F.sum("indexed")).first()[0] or 0) * 32 / (POSTINGS * by)))
     pairs = stored(candidates(postings(sets, meeting), share, meeting), "candidates")
     every = stored(names(docs), "names").repartition("content").distinct()
     return pairs, sets, every, share
@@ -593,10 +672,32 @@ def _components(pairs: DataFrame) -> DataFrame:
     return stored(roots.unionByName(roots.select(F.col("root").alias("doc_id"), "root").distinct()), "roots", keep=True)
 
 
+def _linked(docs: DataFrame, n: int, threshold: float, part_bytes: int | None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, links) of documents with grams, by text, and edges (doc_a, doc_b) that connect the documents of each class."""
+    pairs, sets, every, share = _joined(docs, n, threshold, part_bytes)
+    own = every.groupBy("content", "digest").agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("many"))
+    met = stored(verify(pairs, sets, own, share, counted=True), "met")
+    near = met.groupBy("content", "digest").agg(F.sum("links").alias("near"))
+    texts = every.join(own.join(near, ["content", "digest"], "left"), ["content", "digest"])
+    texts = stored(texts.select("doc_id", "least", (F.col("many") - 1 + F.coalesce("near", F.lit(0))).alias("links")), "texts")
+    edges = met.select(F.col("root").alias("doc_a"), F.col("least").alias("doc_b")).unionByName(texts.select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b")))
+    return texts.select("doc_id", "links"), edges.where("doc_a <> doc_b")
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, part_bytes: int | None = None) -> DataFrame:
+    """(doc_id, class_id, links) of each document, stored: the least doc_id of its class and the number of documents that are similar to it, its copies among them."""
+    with scratch(docs.sparkSession):
+        links, edges = _linked(docs, n, threshold, part_bytes)
+        roots = components(edges)
+        ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        out = ids.join(links.groupBy("doc_id").agg(F.sum("links").alias("links")), "doc_id", "left").join(roots, "doc_id", "left")
+        return stored(out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "classes", keep=True)
+
+
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Documents without those that have a smaller doc_id in their group of similar documents; rows with a null doc_id stay."""
     with scratch(docs.sparkSession):
-        groups = components(similar_pairs(docs, n, threshold))
+        groups = components(_linked(docs, n, threshold, None)[1])
         gone = stored(groups.where("doc_id <> root").select(F.col("doc_id").alias("_gone")).distinct(), "gone", keep=True)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
@@ -626,3 +727,22 @@ g as (select doc_id, {grams} as g, w from t where len(w) > 0),
 p as (select a.doc_id as doc_a, b.doc_id as doc_b, case when a.w = b.w then 1.0 else len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)) end as j from g a join g b on a.doc_id < b.doc_id)
 select doc_a, doc_b, round(cast(max(j) as double), 6) as jaccard from p where j >= {threshold} - 1e-9 group by 1, 2
 """
+
+
+def oracle_classes(n: int = N, threshold: float = THRESHOLD) -> str:
+    """classes in DuckDB: contents compared by brute force, classes by following all links."""
+    grams = f"case when len(w) < {n} then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) end"
+    return f"""
+with recursive t as (select distinct doc_id, {tk.token_sql()} as w from documents where doc_id is not null),
+c as (select w, min(doc_id) as r, count(*) as many, row_number() over () as c from t where len(w) > 0 group by w),
+g as (select c, unnest({grams}) as g from c),
+s as (select c, count(*) as m from g group by 1),
+o as (select x.c as a, y.c as b, count(*) as ov from g x join g y on x.g = y.g and x.c <> y.c group by 1, 2),
+p as (select a, b from o join s p on p.c = a join s q on q.c = b where ov * {1 + threshold} >= (p.m + q.m) * {threshold} - 1e-9),
+l as (select a, sum(c.many) as near from p join c on c.c = b group by 1),
+d as (select t.doc_id, c.r, c.many - 1 + coalesce(l.near, 0) as links from t join c on t.w = c.w left join l on l.a = c.c),
+e as (select x.r as u, y.r as v from p join c x on x.c = a join c y on y.c = b union select doc_id, r from d union select r, doc_id from d),
+k as (select doc_id as u, doc_id as root from t union select e.v, k.root from k join e on e.u = k.u)
+select i.doc_id, min(k.root) as class_id, any_value(coalesce(links, 0)) as links
+from (select t.doc_id, cast(sum(links) as bigint) as links from (select distinct doc_id from t) t left join d on d.doc_id = t.doc_id group by 1) i join k on k.u = i.doc_id group by 1
+"""

@@ -104,6 +104,39 @@ def test_common_grams_and_small_packs_change_nothing(spark, corpus, monkeypatch,
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+@pytest.mark.parametrize("dense", [0, 16, 10**9])
+def test_classes_count_every_link_of_every_document(spark, corpus, monkeypatch, dense):
+    """Copies and near copies of copies; each pair of documents counts, which pairs by least ids alone don't tell."""
+    import duckdb
+    import pandas as pd
+
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "BITS", 1 << 12)
+    monkeypatch.setattr(ngram_join, "GATHERED", 20)
+    monkeypatch.setattr(ngram_join, "TOGETHER", 7)
+    docs = [d for d in corpus if d[1] is None or len(d[1]) < 5000] + [(12, "another text of document twelve"), (900, "another text of document twelve")]
+    con = duckdb.connect()
+    con.register("d", pd.DataFrame({"doc_id": pd.array([d[0] for d in docs], "Int64"), "text": [d[1] for d in docs]}))
+    con.execute("create view documents as select * from d")
+    for n, t in ((2, 0.6), (1, 0.3)):
+        got = sorted(tuple(r) for r in ngram_join.classes(frame(spark, docs), n, t).collect())
+        assert got == sorted(con.sql(ngram_join.oracle_classes(n, t)).fetchall())
+        links = Counter(x for a, b, _ in con.sql(ngram_join.oracle_all(n, t)).fetchall() for x in (a, b))
+        assert all(links[d] == k for d, _, k in got if d not in (12, 900)) and sum(links.values()) > 200
+    assert ngram_join.classes(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_a_large_cluster_meets_in_bounded_pieces(monkeypatch):
+    """All pairs of 400 contents, held a few at a time and each once for all grams that follow one another."""
+    monkeypatch.setattr(ngram_join, "GATHERED", 1000)
+    k, p = 400, 20
+    x = np.zeros((k, p, 4), np.uint64)
+    x[:, :, 0], x[:, :, 1], x[:, 1:, 3] = np.arange(1, p + 1), np.arange(k)[:, None], np.arange(1, p)
+    x[:, :, 2] = (100 << 32) + np.arange(p)
+    out = list(ngram_join.join_postings(x.reshape(-1, 4), Fraction(3, 5)))
+    assert max(map(len, out)) <= 1400 and sum(map(len, out)) == len(np.unique(np.concatenate(out), axis=0)) == k * (k - 1) // 2
+
+
 def test_a_gram_of_all_documents_fills_no_part():
     g = np.concatenate([np.array([7 << 40, (k + 1) << 43], np.uint64) for k in range(5000)])
     rare, blob, many = ngram_join.pack_common(g, np.repeat(np.arange(5000, dtype=np.uint16), 2), 16)
