@@ -1,11 +1,14 @@
 """Normalisation, extraction, grading and option letters, as functions and as columns."""
 
+import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.functions import grading
+from routeloom.functions import batches, grading
 from routeloom.functions import text as t
 
 
@@ -108,3 +111,31 @@ def test_options_must_be_one_to_ten(spark):
     df = spark.createDataFrame([(["x"] * n,) for n in (0, 1, 10, 11)], "o array<string>")
     got = [r[0] for r in df.select(t.mcq_prompt_col(F.lit(" q "), F.col("o"))).collect()]
     assert [g is None for g in got] == [True, False, False, True] and got[1].startswith("Question: q\n\nA. x\n\n")
+
+
+def peak(run):
+    """What run() gives, and the most bytes of Python objects meanwhile; Arrow's own aren't among them."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_pieces_keep_every_row_in_order():
+    x, y = pa.array(["a" * k if k % 3 else None for k in range(50)]), pa.array(["\u00e9"] * 50)
+    for limit in (1, 10, 100, 10**6):
+        got = list(batches.pieces(x, y, limit=limit))
+        assert [a for p in got for a in p[0]] == x.to_pylist() and [a for p in got for a in p[1]] == y.to_pylist()
+        assert all(len(p[0]) == 1 or sum(len((a or "").encode()) + 2 for a in p[0]) <= limit for p in got)
+    assert list(batches.pieces(pa.array([], pa.string()))) == [] and list(batches.pieces(pa.nulls(2))) == [[[None, None]]]
+
+
+def test_fingerprints_hold_a_piece_of_a_batch():
+    """400 texts of 60 kB in one Arrow batch."""
+    rows = [f"{k} \u00c4\u00df.. " * 7_500 for k in range(1000, 1020)] * 20 + [None]
+    batch = pa.array(rows)
+    got, most = peak(lambda: [x for a in grading.texts(grading.fingerprint, iter([batch, batch])) for x in a.to_pylist()])
+    one = {x: hashlib.sha1(t.normalize_text(x).encode()).hexdigest() for x in set(rows[:-1])}
+    assert got == [one.get(x) for x in rows] * 2
+    assert most < 15e6
