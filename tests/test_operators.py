@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,25 @@ def test_collect_grades_every_call(tasks):
     assert {r.agent: (r.n_calls, r.n_tasks) for r in collection.call_plan(tasks, ("x",), 3).groupBy("agent").agg(F.count("*").alias("n_calls"), F.count_distinct("task_id").alias("n_tasks")).collect()} == {"x": (12, 4)}
 
 
+def test_calls_are_handed_on_together():
+    """Many calls a batch, whole tasks each; long replies fill one sooner."""
+    given = pa.RecordBatch.from_arrays([pa.array(x) for x in ([f"t{k}" for k in range(1500)], ["say 7"] * 1500, ["7"] * 1500, ["numeric_match"] * 1500)], ["task_id", "prompt", "answer", "grader"])
+    got = list(collection.calls_of(iter([given, given]), ("ok", "mute"), chat, 2, True, 4096, 4))
+    assert len(got) <= 7 and all(b.num_rows <= collection.CALL_ROWS for b in got)
+    assert [(r["task_id"], r["agent"], r["repetition"], r["correct"]) for b in got for r in b.to_pylist()] == [(f"t{k}", a, n, a == "ok") for _ in range(2) for k in range(1500) for a in ("ok", "mute") for n in range(2)]
+    wordy = list(collection.calls_of(iter([given.slice(0, 50)]), ("ok",), lambda *_: collection.Reply("7 " * 150_000), 1, True, 4096, 4))
+    assert sum(b.num_rows for b in wordy) == 50 and max(b.num_rows for b in wordy) <= 4
+    with pytest.raises(Exception, match="truncated"):
+        list(collection.calls_of(iter([given]), ("ok",), lambda *_: collection.Reply("7", completion_tokens=1.5), 1, True, 4096, 4))
+
+
+def test_parsed_bodies_keep_the_other_columns(spark):
+    rows = [(k, None if k % 2 else [k], json.dumps({"choices": [{"message": {"content": "x" * 50_000}}], "usage": {"completion_tokens": k}}) if k % 3 else "rubbish") for k in range(60)]
+    got = collection.replies(spark.createDataFrame(rows, "k long, other array<int>, body string").coalesce(1)).orderBy("k").collect()
+    assert [(r.k, r.other, r.body) for r in got] == rows
+    assert all((r.said, r.completion_tokens, r.error) == (("x" * 50_000, r.k, None) if r.k % 3 else ("", None, "unreadable body")) and r.fatal is False for r in got)
+
+
 @pytest.mark.parametrize("agent", ["broke", "long"])
 def test_fatal_calls_stop_the_run(tasks, agent):
     with pytest.raises(Exception, match="Aborted|ProtocolViolation"):
