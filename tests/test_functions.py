@@ -139,3 +139,12 @@ def test_fingerprints_hold_a_piece_of_a_batch():
     one = {x: hashlib.sha1(t.normalize_text(x).encode()).hexdigest() for x in set(rows[:-1])}
     assert got == [one.get(x) for x in rows] * 2
     assert most < 15e6
+
+
+def test_grades_hold_a_piece_of_a_batch():
+    """400 replies of 60 kB in one Arrow batch."""
+    replies = [("accept" if k % 2 else "hm") + " \u00c4" * 20_000 for k in range(20)] * 20 + [None, "Accepted"]
+    batch = (pa.array(["verifier_judgment"] * 401 + [grading._DONE]), pa.array(replies), pa.array(["ACCEPT"] * 402))
+    got, most = peak(lambda: [(x["extracted"], x["correct"]) for a in grading.grades(iter([batch])) for x in a.to_pylist()])
+    assert got == [("REVISE", False), ("ACCEPT", True)] * 200 + [(None, False)] * 2
+    assert most < 15e6
